@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,9 +35,28 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read back: lineage ends here."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written as a table under the shared checkpoint folder and read back.
+
+    Lineage ends here, and what is lost with an executor is read again. Unlike
+    a checkpoint, a table has the sizes that the optimizer needs: those that it
+    derives over loops of joins grow without end.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/corpusmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpusmill_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_corpusmill_path", None):
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fold(doc_id: str, modulus: int) -> F.Column:
