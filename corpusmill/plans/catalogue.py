@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import corpus, metrics, vocabulary  # noqa: F401  (they register their queries)
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
