@@ -84,16 +84,17 @@ def statistics(docs: DataFrame) -> DataFrame:
 def features() -> dict[str, Column]:
     """The learner's columns, over ``statistics``."""
     n = F.greatest(F.col("n_words"), F.lit(1))
+    # Direct symptoms come first: of conditions with equal gain the first is taken.
     return {
-        "words": F.col("n_words").cast("double"),
-        "word_length": F.col("word_chars") / n,
         "symbols": F.col("n_symbols") / n,
+        "cries": F.col("__cries") / n,
+        "capitals": F.col("__capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
         "repeats": F.col("n_repeat_words") / n,
         "repeat_words": F.col("n_repeat_words").cast("double"),
         "line_copies": F.col("n_dup_lines") / F.greatest(F.col("__lines.n"), F.lit(1)),
         "distinct": F.col("__distinct") / n,
-        "cries": F.col("__cries") / n,
-        "capitals": F.col("__capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "word_length": F.col("word_chars") / n,
+        "words": F.col("n_words").cast("double"),
     }
 
 
