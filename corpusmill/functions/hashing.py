@@ -6,7 +6,7 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,10 +25,15 @@ def sha256_unit(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def dataset_hash(sha256: Column, key: Column) -> Column:
-    """Aggregate: SHA-256 of the rows' hashes in the order of a key."""
-    ordered = F.sort_array(F.collect_list(F.struct(key.alias("k"), sha256.alias("h"))))
-    return F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256)
+def dataset_hash(rows: DataFrame, sha256: str, key: str) -> DataFrame:
+    """One row: SHA-256 over the hashes of 4,096 parts in order; a part's is over its rows' hashes in the order of their keys.
+
+    A row's part is the beginning of its key's own hash, so parts grow evenly.
+    """
+    part = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 3)
+    joined = lambda a: F.sha2(F.array_join(F.transform(a, lambda x: x["h"]), ""), 256)
+    parts = rows.groupBy(part.alias("k")).agg(joined(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(sha256).alias("h"))))).alias("h"))
+    return parts.agg(joined(F.sort_array(F.collect_list(F.struct("k", "h")))).alias("dataset_hash"))
 
 
 def object_hash(value: object) -> str:

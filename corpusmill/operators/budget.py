@@ -7,20 +7,40 @@ running sum of its own, and the sums of the ranges before it are added.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 #: Width of a range of the order column.
 RANGE = 100_000
 
 
-def running_sum(df: DataFrame, order: str, value: Column, name: str, width: int = RANGE) -> DataFrame:
-    """``df`` with the sum of ``value`` up to and with each row, by a unique integer order."""
+def running_sum(df: DataFrame, order: str, value: Column, name: str, width: int = RANGE, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the sum of ``value`` up to and with each row, by an integer order that is unique (for each ``by``)."""
     rows = df.withColumn("__v", value.cast("bigint")).withColumn("__r", F.floor(F.col(order) / width))
-    sums = rows.groupBy("__r").agg(F.sum("__v").alias("__s"))
-    before = sums.select("__r", F.coalesce(F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    inner = F.sum("__v").over(Window.partitionBy("__r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__i", inner).join(before, "__r").withColumn(name, F.col("__b") + F.col("__i")).drop("__v", "__r", "__i", "__b")
+    sums = rows.groupBy(*by, "__r").agg(F.sum("__v").alias("__s"))
+    before = sums.select(*by, "__r", F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    inner = F.sum("__v").over(Window.partitionBy(*by, "__r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__i", inner).join(before, [*by, "__r"]).withColumn(name, F.col("__b") + F.col("__i")).drop("__v", "__r", "__i", "__b")
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str, width: int = RANGE) -> DataFrame:
+    """``df`` with each row's place from 1 in an order of all rows.
+
+    Rows are dealt by range of the order; a row's place is its place in its
+    range plus the rows of the ranges before.
+    """
+    keys = [f"__o{i}" for i in range(len(order))]
+    rows = scratch.cut(df.select("*", *(c.alias(k) for c, k in zip(order, keys, strict=True))))
+    ranges = max(1, math.ceil(rows.count() / width))
+    dealt = scratch.cut(rows.repartitionByRange(ranges, *keys).withColumn("__p", F.spark_partition_id()))
+    counts = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
+    first = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__f"))
+    place = F.col("__f") + F.row_number().over(Window.partitionBy("__p").orderBy(*keys))
+    return dealt.join(first, "__p").withColumn(name, place).drop("__p", "__f", *keys)
 
 
 def budget_prefix(docs: DataFrame, budget: int, order: str = "ord", size: Column | None = None) -> DataFrame:

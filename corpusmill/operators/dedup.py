@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import hashing
+from .budget import global_rank, running_sum
 
 
 def exact_dedup(docs: DataFrame, key: str = "sha256", order: str = "ord") -> DataFrame:
@@ -23,9 +24,16 @@ def exact_dedup(docs: DataFrame, key: str = "sha256", order: str = "ord") -> Dat
 
 
 def host_cap(docs: DataFrame, host: str, order: str, cap: int, share: float = 0.0, max_docs: int = 0) -> DataFrame:
-    """The first ``cap`` rows of each host in order; rows without a host aren't capped."""
+    """The first ``cap`` rows of each host in order; rows without a host aren't capped.
+
+    Each of many parts of a host is capped first, so that a host with very many
+    rows meets in one task with ``cap`` rows a part at most.
+    """
     cap = max(cap, int(share * max_docs)) if share > 0 else cap
-    named = docs.filter(F.col(host) != "").withColumn("__rank", F.row_number().over(Window.partitionBy(host).orderBy(order))).filter(F.col("__rank") <= cap).drop("__rank")
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    named = docs.filter(F.col(host) != "").withColumn("__part", F.pmod(F.xxhash64(order), F.lit(64)))
+    named = named.withColumn("__rank", rank(host, "__part")).filter(F.col("__rank") <= cap)
+    named = named.withColumn("__rank", rank(host)).filter(F.col("__rank") <= cap).drop("__rank", "__part")
     return named.unionByName(docs.filter((F.col(host) == "") | F.col(host).isNull()))
 
 
@@ -167,7 +175,7 @@ def mixed_pool(pools: DataFrame, shares: dict[str, float], budget: int, slack: f
     of bytes so far over the share. ``pools``: lang, ord, n_bytes.
     """
     share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("lang")]
-    before = F.sum("n_bytes").over(Window.partitionBy("lang").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    rows = pools.filter(F.col("lang").isin(list(shares))).withColumn("__before", F.coalesce(before, F.lit(0)))
+    rows = running_sum(pools.filter(F.col("lang").isin(list(shares))), "ord", F.col("n_bytes"), "__upto", by=("lang",)).withColumn("__before", F.col("__upto") - F.col("n_bytes"))
     rows = rows.withColumn("level", F.col("__before") / share).filter(F.col("__before") < share * (budget * slack))
-    return rows.withColumn("pool_ord", F.row_number().over(Window.orderBy("level", "lang", "ord")) - 1).drop("__before")
+    ranked = global_rank(rows, [F.col("level"), F.col("lang"), F.col("ord")], "pool_ord")
+    return ranked.withColumn("pool_ord", F.col("pool_ord") - 1).drop("__before", "__upto")

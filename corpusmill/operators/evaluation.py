@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .budget import global_rank
 
 
 def format_item(question: Column, choices: list[Column], answer: Column | None = None) -> Column:
@@ -80,7 +81,7 @@ def pool_order(pool: DataFrame, first: int, id_: str = "ord", seed: int = 0) ->
     """A seeded order of a pool; what was added after the first rows comes after them in an order of its own, so the prefix stays."""
     late = (F.col(id_) >= first).cast("int")
     key = F.xxhash64(F.col(id_), F.lit(seed) + late)
-    return pool.withColumn("pool_rank", F.row_number().over(Window.orderBy(late, key, id_)))
+    return global_rank(pool, [late, key, F.col(id_)], "pool_rank")
 
 
 def same_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: two-sided 95% quantile of Student's t with two degrees of freedom.
@@ -51,32 +51,29 @@ def describe(values: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.select("*", (F.col("mean") - half).alias("ci_lo"), (F.col("mean") + half).alias("ci_hi"))
 
 
-def nearest_rank(ordered: Column, n: Column, q: float) -> Column:
-    """The value at the banker's-rounded rank."""
-    return F.element_at(ordered, F.greatest(F.bround(q * n).cast("int"), F.lit(1)))
+def order_statistics(values: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """``n`` and, by group, the values at ranks from 1; a rank is an expression of ``n``.
 
-
-def latency_stats(runs: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean, median, sample deviation (0 for one run), and the nearest-rank 95th percentile.
-
-    The rank comes from counts of distinct values, so no group's values meet in
-    one row.
+    Ranks come from counts of distinct values, so no group's values meet in one
+    row.
     """
-    from pyspark.sql import Window
+    counts = values.groupBy(*by, value).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(value))
+    whole = F.sum("__c").over(Window.partitionBy(*by))
+    rows = counts.withColumn("__u", upto).withColumn("n", whole)
+    return rows.groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("__u") >= r, F.col(value))).alias(k) for k, r in ranks.items()))
 
-    base = runs.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
-    counts = runs.groupBy(*by, value).agg(F.count("*").alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(value)))
-    rank = F.greatest(F.bround(0.95 * F.col("n")), F.lit(1))
-    p95 = run.join(base.select(*by, "n"), by).filter(F.col("upto") >= rank).groupBy(*by).agg(F.min(value).alias("p95"))
-    return base.join(p95, by)
+
+def latency_stats(runs: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean, median, sample deviation (0 for one run), and the 95th percentile at the banker's-rounded rank."""
+    base = runs.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
+    p95 = order_statistics(runs, by, value, {"p95": F.greatest(F.bround(0.95 * F.col("n")), F.lit(1))})
+    return p95.join(base, by).select(*by, "n", "mean", "median", "std", "p95")
 
 
 def quantile_digest(values: DataFrame, by: list[str], value: str, qs: list[int]) -> DataFrame:
     """Values at index min(n - 1, floor(q / 100 * n)) of the sorted values."""
-    n = F.size("__s")
-    at = lambda q: F.element_at("__s", F.least(n - 1, F.floor(F.lit(q / 100.0) * n).cast("int")) + 1)
-    return values.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("__s")).select(*by, n.alias("n"), *(at(q).alias(f"q{q}") for q in qs))
+    return order_statistics(values, by, value, {f"q{q}": F.least(F.col("n") - 1, F.floor(F.lit(q / 100.0) * F.col("n"))) + 1 for q in qs})
 
 
 def accuracy(predictions: DataFrame, by: str) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import budget
+
 
 def encode_udf(load: Callable, flags: bool = False):
     """Arrow UDF: ids of a tokenizer that ``load()`` gives once a worker; with ``flags``, whether each id opens a segment too."""
@@ -67,13 +69,12 @@ def eligible(stats: DataFrame, vocab: DataFrame, protected: DataFrame, floors: d
     rows = stats.filter("is_leaf and not is_protected").join(protected.select("token_id"), "token_id", "left_anti").join(vocab.select("token"), "token", "left_semi")
     for column, floor in floors.items():
         rows = rows.filter(F.col(column) < floor)
-    return rows.withColumn("prune_rank", F.row_number().over(Window.orderBy("count_total", "token_id")))
+    return budget.global_rank(rows, [F.col("count_total"), F.col("token_id")], "prune_rank")
 
 
 def cumulative(ranked: DataFrame, marks: list[int], total: int) -> DataFrame:
     """Occurrences of the first N ranked tokens, and their share, at each mark."""
-    run = F.sum("count_total").over(Window.orderBy("prune_rank").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("cum_count", run).filter(F.col("prune_rank").isin(marks)).select("prune_rank", "cum_count", (F.col("cum_count") / float(total)).alias("cum_share"))
+    return budget.running_sum(ranked, "prune_rank", F.col("count_total"), "cum_count").filter(F.col("prune_rank").isin(marks)).select("prune_rank", "cum_count", (F.col("cum_count") / float(total)).alias("cum_share"))
 
 
 def pair_counts(docs: DataFrame, ids: str = "ids", opens: str | None = None) -> DataFrame:

@@ -150,9 +150,9 @@ def split_intersect(spark, d):
     return rows.filter("split = 'train'").select("sha256").intersect(rows.filter("split <> 'train'").select("sha256"))
 
 
-@query(f"SELECT sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS dataset_hash FROM (SELECT * FROM documents WHERE {SPLIT} = 'dev')")
+@query(f"WITH p AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) AS k, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents WHERE {SPLIT} = 'dev' GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY k)) AS dataset_hash FROM p")
 def dataset_hash(spark, d):
-    return split_documents(spark, d).filter("split = 'dev'").agg(hashing.dataset_hash(F.col("sha256"), F.col("doc_id")).alias("dataset_hash"))
+    return hashing.dataset_hash(split_documents(spark, d).filter("split = 'dev'"), "sha256", "doc_id")
 
 
 @query(f"SELECT doc_id, source, lang AS domain, 'NA' AS date, lang AS language, sha256(text) AS sha256, {SPLIT} AS split, length(text) AS char_count, strlen(text) AS byte_count FROM documents")
