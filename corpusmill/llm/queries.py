@@ -21,4 +21,5 @@ QUERIES = {
 #: against plain Python in tests/llm.
 ORACLE = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op5_sharding": sharding.OP5_SQL,
 }

@@ -103,3 +103,25 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", range_rows
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
     return shard(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: CRC-32 goes byte by byte through its table; keys jump in a recursive query.
+OP5_SQL = f"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(coalesce(text, '')) AS h FROM documents),
+bytes AS (SELECT doc_id, size, list_concat([4294967295], list_transform(range(1, size - 15), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)) AS b FROM d),
+sums AS (SELECT doc_id, size, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM bytes, tab),
+keys AS (SELECT DISTINCT doc_id, coalesce(doc_id, 0) AS k FROM documents),
+jumps AS (
+  SELECT doc_id, n, -1::BIGINT AS b, 0::BIGINT AS j, ((k::HUGEINT + 18446744073709551616) % 18446744073709551616)::UHUGEINT AS k FROM keys, (VALUES ({SHARDS}), ({SHARDS + 1})) c(n)
+  UNION ALL
+  SELECT doc_id, n, j, floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((m // 8589934592)::DOUBLE + 1)))::BIGINT, m
+  FROM (SELECT doc_id, n, j, (k * {MULTIPLIER} + 1) % 18446744073709551616::UHUGEINT AS m FROM jumps WHERE j < n)
+),
+shards AS (SELECT doc_id, max(b) FILTER (n = {SHARDS} AND j >= {SHARDS}) AS shard, max(b) FILTER (n = {SHARDS + 1} AND j >= {SHARDS + 1}) AS grown FROM jumps GROUP BY 1)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown::INTEGER AS grown_shard
+FROM sums JOIN shards USING (doc_id)
+"""
