@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import scratch
+from ..scratch import release
+
+__all__ = ["cut", "fold", "labelled_sample", "prepare", "raw_texts", "release", "table", "texts", "with_columns"]
+
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 256
 
@@ -29,34 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Short Arrow batches, and a checkpoint folder where none is set (tests)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusmill-ckpt-"))
+    scratch.folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written as a table under the shared checkpoint folder and read back.
-
-    Lineage ends here, and what is lost with an executor is read again. Unlike
-    a checkpoint, a table has the sizes that the optimizer needs: those that it
-    derives over loops of joins grow without end.
-    """
-    spark = df.sparkSession
-    prepare(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/corpusmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._corpusmill_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for t in tables:
-        if path := getattr(t, "_corpusmill_path", None):
-            jvm = t.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    """A written table in the shared checkpoint folder: lineage ends here."""
+    prepare(df.sparkSession)
+    return scratch.cut(df)
 
 
 def fold(doc_id: str, modulus: int) -> F.Column:
