@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokens.WordIds(vocabulary)
+        tokenizer = tokens.worker_wide(("ids", vocabulary), lambda: tokens.WordIds(vocabulary))
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             for i, t in zip(b.column("doc_id").to_pylist(), common.raw_texts(b), strict=True):

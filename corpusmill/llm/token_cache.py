@@ -55,7 +55,7 @@ def count_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([z.compress(t) for t in common.raw_texts(b)], pa.binary())], names=["digest", "packed"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, z = tokens.ByteCounts(vocabulary), zstandard.ZstdDecompressor()
+        counts, z = tokens.worker_wide(("counts", vocabulary), lambda: tokens.ByteCounts(vocabulary)), zstandard.ZstdDecompressor()
         for b in batches:
             n = [counts.count(z.decompress(t)) for t in b.column("packed").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])

@@ -9,13 +9,29 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
-#: Stretches kept by one worker.
-ENTRIES = 400_000
+#: Stretches in one generation of a worker's cache; there are two.
+ENTRIES = 300_000
 #: Longer stretches aren't kept.
 LONGEST = 64
+#: A stretch that ends in ASCII marks other than the apostrophe, after a Latin
+#: letter or a digit: every tokenizer here cuts between the two (not after I
+#: with a dot, whose lower case ends in a combining mark).
+MARKED = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf]))([!-&(-/:-@\[-`{-~]+)\Z")
+
+#: Stretches that are one piece of letters and don't change in normalisation.
+LOWER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+LETTERS = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
 
 
 def load(name: str):
@@ -41,31 +57,56 @@ def version(name: str) -> str:
 
 
 class _Kept(dict):
-    """What ``make`` gives for a stretch, kept while there is room."""
+    """What ``make`` gives for a stretch. When a generation is full it becomes the
+    old one; what is asked for again moves over, so frequent stretches stay."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: bytes):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONGEST:
             if len(self) >= ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+def worker_wide(key: tuple, make):
+    """One object for all tasks of a Python worker: their caches stay warm."""
+    home = sys.modules.setdefault("_corpusmill_worker", types.ModuleType("_corpusmill_worker"))
+    held = home.__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 class WordIds:
-    """Ids by a word-piece BPE whose pieces never hold white space (its normaliser drops it)."""
+    """Ids by a word-piece BPE whose pieces never hold white space (its normaliser drops it) and have no ASCII capitals."""
 
     def __init__(self, name: str):
         self.tokenizer = load(name)
-        self.kept = _Kept(lambda w: np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes())
+        self.model, self.table = self.tokenizer.model, byte_characters()
+        self.parts = _Kept(self.encoded)
+        self.kept = _Kept(self.split)
+
+    def encoded(self, w: bytes) -> bytes:
+        if LOWER.fullmatch(w):
+            return np.array([t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.table))], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def split(self, w: bytes) -> bytes:
+        m = None if b"<|" in w else MARKED.match(w)
+        return self.parts[m[1]] + self.parts[m[2]] if m else self.parts[w]
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.kept.__getitem__, text.split()))
+        # Folding capitals first makes equal stretches meet; it could make a special token.
+        return b"".join(map(self.kept.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 class ByteCounts:
@@ -79,7 +120,18 @@ class ByteCounts:
 
     def __init__(self, name: str):
         self.tokenizer = load(name)
-        self.kept = _Kept(lambda w: self.whole(b" " + w))
+        self.model, self.table = self.tokenizer.model, byte_characters()
+        self.parts = _Kept(self.piece)
+        self.kept = _Kept(self.split)
+
+    def piece(self, w: bytes) -> int:
+        if LETTERS.fullmatch(w):
+            return len(self.model.tokenize(w.decode("latin-1").translate(self.table)))
+        return self.whole(w)
+
+    def split(self, w: bytes) -> int:
+        m = MARKED.match(w)
+        return self.parts[b" " + m[1]] + self.parts[m[2]] if m else self.parts[b" " + w]
 
     def whole(self, text: bytes) -> int:
         return len(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
