@@ -108,38 +108,55 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "toxic
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.searchsorted(chosen, np.intersect1d(chosen, np.frombuffer(g, np.int32), True)).astype(np.int32).tobytes() for g in b.column("grams").to_pylist()]
+            own = [np.searchsorted(chosen, np.intersect1d(chosen, np.frombuffer(g, np.int32), True)).astype(np.uint16).tobytes() for g in b.column("grams").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(own, pa.binary())], names=["label", "columns"])
 
     data = rows.mapInArrow(columns, "label int, columns binary").collect()
-    data.sort(key=lambda r: (r["label"], bytes(r["columns"])))
+    data.sort(key=lambda r: (r["label"], bytes(r["columns"])))  # the order of tasks doesn't matter
     y = np.array([r["label"] for r in data], float)
-    cols = [np.frombuffer(bytes(r["columns"]), np.int32) for r in data]
+    cols = [np.frombuffer(bytes(r["columns"]), np.uint16) for r in data]
+    del data
     w, bias = logistic(cols, y, ratio, rounds, ridge)
     return Model(chosen, (w * ratio).astype(np.float64), bias)
 
 
 def logistic(cols: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Nesterov's method; column j is ``scale[j]`` where present."""
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    col = np.concatenate(cols) if cols else np.zeros(0, np.int32)
-    value = scale[col]
+    """Ridge logistic regression by Nesterov's method; column j is ``scale[j]`` where present.
+
+    The matrix is kept as 16-bit column numbers and met a block of rows at a
+    time, so the driver's memory is about two bytes an entry.
+    """
+    if len(scale) > 1 << 16:
+        raise ValueError("at most 65,536 features")
+    blocks = [(at, np.concatenate(cols[at : at + 256]), np.array([len(c) for c in cols[at : at + 256]])) for at in range(0, len(cols), 256)]
+    cols.clear()
+
+    def times(u: np.ndarray) -> np.ndarray:
+        own = u * scale
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), own[c], len(n)) for _, c, n in blocks])
+
+    def transposed(err: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(scale))
+        for at, c, n in blocks:
+            out += np.bincount(c, np.repeat(err[at : at + len(n)], n), len(scale))
+        return out * scale
+
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     lam = ridge / max(1, len(y))
     # The Lipschitz constant by power iteration on the weighted Gram matrix.
     v = np.full(len(scale), 1.0)
     for _ in range(12):
         v /= np.linalg.norm(v) + 1e-12
-        v = np.bincount(col, value * (weight * np.bincount(row, value * v[col], len(y)))[row], len(scale))
+        v = transposed(weight * times(v))
     step = 1 / (0.25 * (np.linalg.norm(v) + 1) * 1.2 + lam)
     w, last, bias, last_bias = np.zeros(len(scale)), np.zeros(len(scale)), 0.0, 0.0
     for k in range(rounds):
         m = k / (k + 3)
         u, ub = w + m * (w - last), bias + m * (bias - last_bias)
-        z = np.bincount(row, value * u[col], len(y)) + ub
+        z = times(u) + ub
         err = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         last, last_bias = w, bias
-        w = u - step * (np.bincount(col, value * err[row], len(scale)) + lam * u)
+        w = u - step * (transposed(err) + lam * u)
         bias = ub - step * err.sum()
     return w, float(bias)
 
