@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
+from .budget import global_rank
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -90,12 +93,12 @@ def transplant(base: DataFrame, donor: DataFrame, ids: DataFrame) -> DataFrame:
 
 def permute(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     """Each chosen row gets the next chosen row's vector, the last one the first's: no row keeps its own."""
-    chosen = vectors.join(ids, "id", "left_semi")
-    w = Window.orderBy("id")
-    ranked = chosen.select("id", "vec", (F.row_number().over(w) - 1).alias("k"))
+    ranked = scratch.cut(global_rank(vectors.join(ids, "id", "left_semi").select("id"), [F.col("id")], "k"))
     n = ranked.agg(F.count("*").alias("n"))
-    to = ranked.select("k", "id").crossJoin(F.broadcast(n)).select(F.pmod(F.col("k") + 1, F.col("n")).alias("k"), "id")
-    return vectors.join(ids, "id", "left_anti").select("id", "vec").unionByName(to.join(ranked.select("k", "vec"), "k").select("id", "vec"))
+    to = ranked.crossJoin(F.broadcast(n)).select((F.pmod(F.col("k"), F.col("n")) + 1).alias("k"), "id")
+    source = to.join(ranked.withColumnRenamed("id", "__from"), "k").select("id", "__from")
+    moved = source.join(vectors.select(F.col("id").alias("__from"), "vec"), "__from").select("id", "vec")
+    return vectors.join(ids, "id", "left_anti").select("id", "vec").unionByName(moved)
 
 
 def moves(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 from corpusmill.plans import catalogue
 
 
@@ -6,3 +7,10 @@ def test_evaluated_compression_has_all_documents(spark, sf):
     got = {r.lang: (r.n_bytes, r.n_tokens) for r in catalogue.QUERIES["evaluated_compression"](spark, sf).collect()}
     want = duckdb.sql(f"SELECT lang, sum(strlen(text)), sum(length(text) // 4 + 1) FROM '{sf}/documents.parquet' GROUP BY 1").fetchall()
     assert got == {k: (b, t) for k, b, t in want}
+
+
+def test_permute_moves_all_vectors(spark, sf):
+    got = catalogue.QUERIES["emb_permute_moves"](spark, sf).first()
+    v = np.array([r[0] for r in duckdb.sql(f"SELECT embedding FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchall()])
+    want = np.linalg.norm(np.roll(v, -1, 0) - v, axis=1)
+    assert got.n_moved == len(v) and abs(got.mean_move - want.mean()) < 1e-4
