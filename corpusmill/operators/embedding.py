@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import scratch
 from .budget import global_rank
 
+#: Columns of the rows of a search.
+NEAREST = "query_id bigint, id bigint, cosine double"
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -22,6 +29,54 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(query_id, id, cosine): the k nearest rows of each query, the lower id first at a tie.
+
+    Queries go to the executors in blocks of ``block`` vectors; each task keeps
+    its k best rows a query, and the best of those are taken. Sums run over the
+    elements in order, so equal vectors have equal cosines. Rows whose cosine
+    is not a number come last, as null.
+    """
+    ranked = scratch.cut(global_rank(queries.select("id", "vec"), [F.col("id")], "__k").withColumn("__b", F.floor((F.col("__k") - 1) / block)))
+    blocks = sorted(r[0] for r in ranked.select("__b").distinct().collect())
+    best = [scratch.cut(_block_topk(ranked.filter(F.col("__b") == b).select("id", "vec").toPandas(), vectors, k)) for b in blocks]
+    empty = vectors.sparkSession.createDataFrame([], NEAREST)
+    rows = functools.reduce(DataFrame.unionByName, best, empty)
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
+    return rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+
+
+def _block_topk(queries: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of each query of a block in every partition of ``vectors``."""
+    qid, qvec = queries["id"].to_numpy(), np.stack(queries["vec"].to_list()).astype("float64")
+
+    def run(batches):
+        def lengths(m):
+            return np.sqrt(sum(m[:, i] * m[:, i] for i in range(m.shape[1])))
+
+        qn = lengths(qvec)
+        values, ids = np.empty((len(qid), 0)), np.empty((len(qid), 0), "int64")
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                v = np.stack(part["vec"].to_list()).astype("float64")
+                c = np.zeros((len(qid), len(v)))
+                for i in range(v.shape[1]):
+                    c += qvec[:, i, None] * v[None, :, i]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    c /= qn[:, None] * lengths(v)[None, :]
+                c[~np.isfinite(c)] = -np.inf
+                values = np.concatenate([values, c], axis=1)
+                ids = np.concatenate([ids, np.broadcast_to(part["id"].to_numpy(), c.shape)], axis=1)
+                first = np.lexsort((ids, -values))[:, :k]
+                values, ids = np.take_along_axis(values, first, 1), np.take_along_axis(ids, first, 1)
+        if values.shape[1]:
+            yield pd.DataFrame({"query_id": np.repeat(qid, values.shape[1]), "id": ids.ravel(), "cosine": values.ravel()})
+
+    rows = vectors.select("id", "vec").mapInPandas(run, NEAREST)
+    return rows.withColumn("cosine", F.when(F.col("cosine") > float("-inf"), F.col("cosine")))
+
+
 def reference_stats(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """Mean and population deviation of all elements of rows without NaN: sums by row, then over rows."""
     ok = vectors.filter(~F.exists(vec, F.isnan))

@@ -202,11 +202,9 @@ def emb_pair_mean(spark, d):
 
 @query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 4) AS cosine FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e) DESC, vec_id LIMIT 20")
 def emb_cosine_topk(spark, d):
-    """One query vector against all rows."""
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    c = embedding.cosine(F.col("embedding"), F.col("q"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", c.alias("c")).orderBy(F.desc("c"), "vec_id").limit(20).select("vec_id", F.round("c", 4).alias("cosine"))
+    """Every vector with an id divisible by 100 against all rows; the SQL has id 0 alone."""
+    v = _vectors(spark, d)
+    return embedding.cosine_topk(v.filter("id % 100 = 0"), v, 20).select("query_id", F.col("id").alias("vec_id"), F.round("cosine", 4).alias("cosine"))
 
 
 @query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id < 10) AS n_moved, round(avg(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)))), 4) AS mean_move FROM embeddings a JOIN embeddings b ON a.vec_id = (b.vec_id + 1) % 10 WHERE a.vec_id < 10 AND b.vec_id < 10")
