@@ -243,7 +243,7 @@ def stable_sample(spark, d):
 @query()
 def content_signals(spark, d):
     """Korean patterns on texts without Hangul; the tests have Korean ones."""
-    return documents(spark, d).select("doc_id", *(c.cast("bigint").alias(n) for n, c in domain.signals(F.substring("text", 1, 180)).items()))
+    return documents(spark, d).select("doc_id", *(c.cast("bigint").alias(n) for n, c in domain.signals(F.col("text")).items()))
 
 
 CLEAN = "regexp_replace(lower(nfc_normalize(text)), '\\s+', '', 'g')"

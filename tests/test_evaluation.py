@@ -1,6 +1,8 @@
+import re
+
 import duckdb
 import numpy as np
-from corpusmill.operators import embedding
+from corpusmill.operators import domain, embedding
 from corpusmill.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -37,3 +39,10 @@ def test_item_prompts_hold_the_whole_text(spark, sf):
     end = "\nA. a\nB. b\nC. c\nD. d\n정답:"
     want = {i: (t + end, f"{t}{end} {'ABCD'[i % 4]}") for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()}
     assert got == want
+
+
+def test_content_signals_count_the_whole_text(spark, tmp_path):
+    text = "x" * 180 + " RTX 4090 GPU 16GB RAM DDR5 " * 3
+    duckdb.sql(f"COPY (SELECT 0::BIGINT AS doc_id, '{text}' AS text, 'ko' AS lang, 'web' AS source, {len(text)} AS n_chars) TO '{tmp_path}/documents.parquet'")
+    got = catalogue.QUERIES["content_signals"](spark, str(tmp_path)).first()
+    assert got.spec == len(re.findall(domain.SIGNALS["spec"], text)) > 0
