@@ -312,6 +312,48 @@ def test_neardup_against_python(spark, shingle):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c} and "found" in kept.columns
 
 
+def test_neardup_hot_groups(spark, monkeypatch):
+    """A group of near copies, and one whose texts are alike at 0.5 to 0.79, through small cells."""
+    monkeypatch.setattr(neardup, "SMALL", 5)
+    monkeypatch.setattr(neardup, "CELL_ROWS", 16)
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = []
+    for share in (0.02, 0.055, 0.1):
+        base = [rng.choice(vocab) for _ in range(80)]
+        for _ in range(70):
+            own = [rng.choice(vocab) if rng.random() < share else w for w in base]
+            texts.append(" ".join(own))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    want = brute_components(list(enumerate(texts)), 2)
+    assert 3 < len({c for _, c in want.values()}) < len(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(table(spark, texts), 2).collect()} == want
+
+
+def test_neardup_likelihood_rises_up_to_the_estimate():
+    rng = np.random.default_rng(5)
+    na, nb = rng.integers(20, 400, 300).astype(float), rng.integers(20, 400, 300).astype(float)
+    sets = [(np.unique(rng.integers(0, 1 << 63, int(a), np.uint64)), int(b)) for a, b in zip(na, nb, strict=True)]
+    other = [np.unique(np.concatenate([s[: int(rng.integers(0, min(len(s), b) + 1))], rng.integers(0, 1 << 63, b, np.uint64)])[:b]) for s, b in sets]
+    ra, rb = np.stack([neardup.registers(s) for s, _ in sets]), np.stack([neardup.registers(s) for s in other])
+    na, nb = np.array([len(s) for s, _ in sets], float), np.array([len(s) for s in other], float)
+    j = neardup.estimate(ra, rb, na, nb)
+    top = np.minimum(na, nb) / np.maximum(na, nb)
+    for least in (0.3, 0.64):
+        got = neardup.reaches((ra > rb).sum(1), (ra < rb).sum(1), na, nb, least)
+        sure = np.abs(j - least) > 0.011 * top
+        assert (got == (j >= least))[sure].all() and sure.sum() > 200
+
+
+def test_neardup_one_id_several_texts(spark):
+    df = spark.createDataFrame([(3, "a b c d"), (5, "a b c d"), (5, "x y z w"), (6, "x y z w"), (7, None), (7, "q r s"), (8, None), (9, "l m"), (9, "l m n o p"), (9, "h i j"), (1, "h i j")], "doc_id long, text string")
+    got = sorted({(r.doc_id, r.component_id, r.kept) for r in neardup.link(df, 2).collect()})
+    assert got == [(1, 1, True), (3, 3, True), (5, 3, False), (6, 3, False), (7, 7, True), (8, 8, True), (9, 1, False)]
+    assert sorted((r.doc_id, r.text) for r in neardup.drop_copies(df.unionByName(df), 2).collect()) == [(1, "h i j"), (3, "a b c d"), (7, None), (8, None)]
+
+
 def test_neardup_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.link(df, 2).collect()), key=str)
