@@ -1,9 +1,15 @@
-"""A small tolerant HTML reader: block elements as a tree, with their runs of text."""
+"""A small tolerant HTML reader: block elements as a tree, with their runs of text.
+
+Time is linear in the page, whatever its markup: quotes that never close are met
+once, and open elements are found by counts and by lists kept for each scope.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 #: Element names of the HTML standard.
@@ -12,7 +18,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What they hold is no markup.
-RAW = frozenset("script style textarea title iframe noscript template svg canvas object".split())
+RAW = frozenset("script style textarea title iframe".split())
 #: Never text of a page.
 SILENT = frozenset("script style head title template noscript iframe svg canvas object textarea select option optgroup button audio video meta link".split())
 #: An open element of these names ends when one of the values begins.
@@ -27,8 +33,12 @@ ENDS = {
     "p": BLOCKS - {"button", "object", "noscript", "script", "style", "svg", "canvas", "audio", "video", "template", "link", "meta", "select", "option", "optgroup", "textarea", "output", "iframe"},
 }
 SCOPE = frozenset("table td th caption button object ul ol dl html body".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: An element of the key begins inside open elements of the values, which end.
+ENDED_BY = {new: [old for old, begins in ENDS.items() if new in begins] for new in set().union(*ENDS.values())}
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"""[>"']""")
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+HREF = re.compile(r"""(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -49,10 +59,110 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+class Tags:
+    """The tags of a page in order, as (start, end, name, closing, attributes).
+
+    Comments and declarations have the name None; a CDATA section has its text
+    as attributes. A ``>`` inside quotes doesn't end a tag, unless the quotes
+    then never let it end: such a tag goes up to the first ``>``.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.hopeless: set[int] = set()
+        self.missing: dict[str, int] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """Like str.find; what isn't found is not looked for again."""
+        if at >= self.missing.get(what, len(self.page) + 1):
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.missing[what] = at
+        return k
+
+    def end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends (its ``>``), or -1."""
+        plain = self.find(">", at)
+        if plain < 0 or (self.page.find('"', at, plain) < 0 and self.page.find("'", at, plain) < 0):
+            return plain
+        met, k = [], at
+        while m := STOP.search(self.page, k):
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.hopeless:
+                break
+            met.append(m.start())
+            k = self.find(m[0], m.end()) + 1
+            if not k:
+                break
+        self.hopeless.update(met)
+        return plain
+
+    def __iter__(self) -> Iterator[tuple[int, int, str | None, bool, str]]:
+        page, at = self.page, 0
+        while (s := self.find("<", at)) >= 0:
+            at = s + 1
+            if m := TAG.match(page, s):
+                e = self.end(m.end())
+                if e >= 0:
+                    at = (yield s, e + 1, m[2].lower(), bool(m[1]), page[m.end() : e]) or e + 1
+            elif page[at : at + 1] in ("!", "?"):
+                cdata = page.startswith("<![CDATA[", s)
+                close = "]]>" if cdata else "-->" if page.startswith("<!--", s) else ">"
+                e = self.find(close, s + 2)
+                at = e + len(close) if e >= 0 else len(page)
+                yield s, at, None, False, page[s + 9 : e if e >= 0 else at] if cdata else ""
+
+
+class Open:
+    """The open elements, with what is needed to find those that a tag ends."""
+
+    def __init__(self):
+        self.stack: list[tuple[int, str]] = [(0, "#root")]
+        self.count: Counter[str] = Counter()
+        self.scopes: list[tuple[int, dict[str, list[int]]]] = [(0, defaultdict(list))]
+
+    def push(self, node: int, tag: str) -> None:
+        if tag in SCOPE:
+            self.scopes.append((len(self.stack), defaultdict(list)))
+        elif tag in ENDS:
+            self.scopes[-1][1][tag].append(len(self.stack))
+        self.stack.append((node, tag))
+        self.count[tag] += 1
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            _, tag = self.stack.pop()
+            self.count[tag] -= 1
+            if tag in SCOPE:
+                self.scopes.pop()
+            elif tag in ENDS:
+                self.scopes[-1][1][tag].pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag: the innermost element of that name and all inside it end."""
+        if self.count[tag]:
+            k = len(self.stack) - 1
+            while self.stack[k][1] != tag:
+                k -= 1
+            self.cut(k)
+
+    def begin(self, tag: str) -> None:
+        """A start tag: the innermost element of this scope that it ends."""
+        base, lists = self.scopes[-1]
+        ends = ENDED_BY.get(tag, ())
+        at = max((lists[old][-1] for old in ends if lists.get(old)), default=-1)
+        if at < 0 and self.stack[base][1] in ends:
+            at = base
+        if at > 0:
+            self.cut(at)
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order; a parent comes before its children."""
     nodes = [Node("#root", -1)]
-    stack = [0]
+    here = Open()
     pending: list[str] = []
     linked = [0]
     in_link = False
@@ -62,7 +172,7 @@ def parse(page: str) -> list[Node]:
         nonlocal place
         text = " ".join(html.unescape("".join(pending)).split())
         if text:
-            nodes[stack[-1]].runs.append((place, text, linked[0]))
+            nodes[here.stack[-1][0]].runs.append((place, text, linked[0]))
             place += 1
         pending.clear()
         linked[0] = 0
@@ -73,51 +183,55 @@ def parse(page: str) -> list[Node]:
             if in_link:
                 linked[0] += len(text.strip())
 
-    at = 0
-    while m := TOKEN.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                say(html.escape(m[0][9:].removesuffix("]]>")))
+    at, past, tags = 0, None, Tags(page)
+    scan = iter(tags)
+    while True:
+        try:
+            start, end, tag, closing, attributes = scan.send(past)
+        except StopIteration:
+            break
+        past = None
+        say(page[at:start])
+        at = end
+        if tag is None:
+            say(html.escape(attributes))
             continue
-        tag, closing, attributes = name.lower(), bool(m[1] or m[4]), (m[3] or m[6] or "")
         if tag not in BLOCKS:
             if tag == "a":
                 in_link = not closing
-            elif tag in ("br", "wbr", "img"):
-                say(" " if tag == "br" else "")
+            elif tag == "br":
+                say(" ")
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+            here.close(tag)
             in_link = False
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            own = nodes[stack[k]].tag
-            if tag in ENDS.get(own, ()):
-                del stack[k:]
-                break
-            if own in SCOPE:
-                break
-        up = nodes[stack[-1]]
-        nodes.append(Node(tag, stack[-1], _names(attributes) if "=" in attributes else (), up.silent or tag in SILENT, up.depth + 1))
-        if tag in VOID or attributes.rstrip().endswith("/") and tag not in RAW:
+        here.begin(tag)
+        top = here.stack[-1][0]
+        up = nodes[top]
+        nodes.append(Node(tag, top, _names(attributes) if "=" in attributes else (), up.silent or tag in SILENT, up.depth + 1))
+        if tag in VOID or tag not in RAW and attributes.rstrip().endswith("/"):
             continue
-        stack.append(len(nodes) - 1)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            stack.pop()
+            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            at = past = close.end() if close else len(page)
+        else:
+            here.push(len(nodes) - 1, tag)
     say(page[at:])
     flush()
     return nodes
 
 
+def links(page: str) -> list[str]:
+    """The href of every anchor, with character references decoded."""
+    out = []
+    for _, _, tag, closing, attributes in Tags(page):
+        if tag == "a" and not closing and (m := HREF.search(attributes)):
+            out.append(html.unescape(m[1] if m[1] is not None else m[2] if m[2] is not None else m[3]).strip())
+    return out
+
+
 def visible_text(page: str) -> str:
     """All blocks of text in page order, one a line."""
     runs = [r for n in parse(page) if not n.silent for r in n.runs]

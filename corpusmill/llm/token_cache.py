@@ -12,7 +12,8 @@ with null as the empty text. Where a tokenizer drops distinctions, pass a
 ``normalise`` expression that drops the same ones.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows
-get a row each. One writer may append to a cache table at a time.
+get a row each. A digest that the cache holds more than once (two writers, a job that
+was repeated) counts once, with the least count.
 """
 
 from __future__ import annotations
@@ -65,13 +66,15 @@ def count_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     rows = docs.select(digest.alias("digest"), content.alias("text")).mapInArrow(packed, "digest binary, packed binary")
     misses = rows.groupBy("digest").agg(F.first("packed").alias("packed")).join(cached(spark, path, version), "digest", "left_anti")
     misses.mapInArrow(encoded, "digest binary, n_tokens bigint").withColumn("version", F.lit(version)).write.mode("append").parquet(path)
-    known = cached(spark, path, version).withColumnRenamed("digest", "__digest")
+    # A digest may have been appended twice (two writers, a repeated job): one row of it.
+    known = common.cut(cached(spark, path, version).groupBy(F.col("digest").alias("__digest")).agg(F.min("n_tokens").alias("n_tokens")))
     out = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), digest.alias("digest"))
     return out.join(known, F.col("digest") == F.col("__digest"), "left").select("doc_id", "n_bytes", "n_tokens")
 
 
-def op4_token_counts(spark, sf_dir: str) -> DataFrame:
+def op4_token_counts(spark, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Counts of all documents, by way of the cache table at ``path`` or, without one, a new table in the shared folder."""
     common.prepare(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/token-counts-{uuid.uuid4().hex}"
+    path = path or f"{spark.sparkContext.getCheckpointDir()}/token-counts-{uuid.uuid4().hex}"
     rows = count_tokens(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return rows.withColumn("over_limit", F.col("n_tokens") > LIMIT)

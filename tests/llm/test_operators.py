@@ -1,9 +1,12 @@
 """Each operator against plain Python on small tables, edge cases included."""
 
+import base64
+import codecs
 import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -159,11 +162,56 @@ def test_warc_round_trip(spark, tmp_path):
     assert sum(r.records for r in warc.write_files(both, path).collect()) == 12
     back = sorted((r.record_id, bytes(r.block), r.refers_to, r.block_digest) for r in warc.read_files(spark, path).collect())
     assert back == sorted((r.record_id, bytes(r.block), r.refers_to, r.block_digest) for r in both.collect())
+    again = sorted((r.record_id, bytes(r.block), r.refers_to, r.block_digest) for r in warc.read_files(spark, path, whole=True).collect())
+    assert again == back
+    ids = [r.record_id for r in both.collect()]
+    assert len(set(ids)) == len(ids) == 12
     with pytest.raises(ValueError):
         list(warc.parse(warc.serialize(both.first().asDict())[:-5]))
     assert warc.derivatives(source.limit(0)).count() == 0
 
 
+def test_warc_payloads():
+    page = "<p>caf\u00e9 \u4e2d</p>"
+    body = page.encode()
+    packed = zlib.compress(body, wbits=31)
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html"
+    chunks = b"".join(b"%x;x=1\r\n%s\r\n" % (len(packed[k : k + 7]), packed[k : k + 7]) for k in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    assert warc.page_text(head + "\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip", chunks) == page
+    assert warc.page_text(head + "\r\nContent-Encoding: deflate", zlib.compress(body)) == page
+    assert warc.page_text(head + "\r\nContent-Encoding: gzip", body) == page
+    assert warc.page_text(head + "; charset=ISO-8859-1", "caf\u00e9".encode("latin-1")) == "caf\u00e9"
+    assert warc.page_text(head, b"<meta charset='windows-1251'>\xcf") == "<meta charset='windows-1251'>\u041f"
+    assert warc.page_text(head + "; charset=no-such", body) == page
+    assert warc.page_text(head, codecs.BOM_UTF16_LE + "xy".encode("utf-16-le")) == "xy"
+    for odd in ("hex", "zlib", "rot13", "idna", "undefined", "punycode"):
+        warc.page_text(head + f"; charset={odd}", body)
+    assert warc.page_text("", b"") == "" and warc.unchunked(b"zz\r\nx") == b"zz\r\nx"
+
+
+def test_warc_links_and_visible_text_against_python(spark):
+    """op3 through its query function, against a plain reading of pages of known parts."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "x &amp; y", "\u00e9t\u00e9"]) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        blocks = [(rng.choice(["p", "div", "h2", "li"]), words(rng.randint(1, 9)), f"/l{i}-{k}?a=1&amp;b=2") for k in range(rng.randint(0, 6))]
+        page = "<html><head><title>no</title></head><body><script>no()</script>" + "".join(f'<{t}>{w} <a class="z" href="{u}">more</a></{t}>' for t, w, u in blocks) + "</body></html>"
+        rows.append((i, f"http://h/{i}", page))
+        want[f"http://h/{i}"] = ("\n".join(w.replace("&amp;", "&") + " more" for _, w, _ in blocks), [u.replace("&amp;", "&") for _, _, u in blocks], len(page.encode()))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    source = {r.record_id: r for r in warc.responses(pages).collect()}
+    for r in warc.derivatives(warc.responses(pages)).collect():
+        text, urls, size = want[r.target_uri]
+        assert source[r.refers_to].target_uri == r.target_uri and r.payload_digest == source[r.refers_to].payload_digest and r.date == source[r.refers_to].date
+        assert r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(bytes(r.block)).digest()).decode()
+        if r.warc_type == "conversion":
+            assert bytes(r.block).decode() == text
+        else:
+            fields = [x.split(": ", 1) for x in bytes(r.block).decode().split("\r\n") if x]
+            assert [v for k, v in fields if k == "outlink"] == urls and ["source-length", str(size)] in fields and ["text-length", str(len(text.encode()))] in fields
+
+
 def test_token_cache(spark, tmp_path):
     path = str(tmp_path / "cache")
     docs = table(spark)
@@ -180,6 +228,17 @@ def test_token_cache(spark, tmp_path):
     got = {r.doc_id: r.n_tokens for r in token_cache.count_tokens(docs, fake).collect()}
     assert got[4] == 77 and got[10] == want[10]
     assert token_cache.count_tokens(docs.limit(0), str(tmp_path / "none")).count() == 0
+    # A second pass of the query over one table adds nothing; digests that are stored twice count once.
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    table_path = str(tmp_path / "shared")
+    want_rows = sorted((i, len((x or "").encode()), want[i], want[i] > 512) for i, x in enumerate(ODD))
+    for _ in range(2):
+        rows = token_cache.op4_token_counts(spark, str(tmp_path), table_path)
+        assert rows.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and sorted(map(tuple, rows.collect())) == want_rows
+        assert spark.read.parquet(table_path).count() == len({x or "" for x in ODD})
+    spark.read.parquet(table_path).write.parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("append").parquet(table_path)
+    assert sorted(map(tuple, token_cache.op4_token_counts(spark, str(tmp_path), table_path).collect())) == want_rows
 
 
 def test_stretches_are_exact():
@@ -238,6 +297,26 @@ def test_html_cases():
         html_extract.main_text(odd, m)
 
 
+def test_html_is_linear():
+    """Nested elements, unclosed quotes and stray tags of 100,000 each, in seconds."""
+    pages = ["<div>" * 100_000 + "x", "<div>" * 50_000 + "</p>" * 100_000, '<a b="x ' * 100_000, '<a b="x> ' * 100_000, "<a b=\"x' " * 100_000, "<" * 500_000, "<ul><li>" * 50_000, "</div>" * 100_000, "<table><tr><td>" * 30_000, '<p class="a>' * 50_000 + "<b c='d\"" * 50_000, "<!--" * 100_000, "<svg>" * 50_000]
+    for page in pages:
+        began = time.process_time()
+        html_tree.parse(page)
+        html_tree.links(page)
+        assert time.process_time() - began < 5, page[:20]
+
+
+def test_html_odd_markup():
+    text = html_tree.visible_text
+    assert text("<p>a</p><svg class=x/><p>b</p><noscript>n</noscript><p>c") == "a\nb\nc"
+    assert text('<p title="a > b">x</p>') == "x" and text('<p title="a > b>x</p>') == "b>x"
+    assert text("a<!-- <p> --><![CDATA[1 < 2]]>b<!doctype x>") == "a1 < 2b"
+    assert text("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == "a\nb\nc\nd"
+    assert text("x < y </3 <") == "x < y </3 <"
+    assert html_tree.links('<a href=/x><A HREF="/y&amp;z" >q</a><a data-href="no"><b href="no">') == ["/x", "/y&z"]
+
+
 def test_html_messages_against_enumeration():
     rng = random.Random(4)
     for _ in range(20):
