@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .. import scratch
 from ..scratch import release
 
-__all__ = ["cut", "fold", "labelled_sample", "prepare", "raw_texts", "release", "table", "texts", "with_columns"]
+__all__ = ["cut", "fold", "labelled_sample", "labelled_texts", "prepare", "raw_texts", "release", "table", "texts", "with_columns"]
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 256
@@ -47,14 +47,26 @@ def fold(doc_id: str, modulus: int) -> F.Column:
 
 
 def labelled_sample(labels: DataFrame, label: str, train: F.Column, per_class: int) -> DataFrame:
-    """(doc_id, label) of at most ``per_class`` rows of each class, in hash order of the id.
+    """(doc_id, label) of at most ``per_class`` ids of each class, in hash order of the id.
 
-    This is the documented bound on what a classifier here is fitted on:
-    ``2 * per_class`` rows. Scores, counts and statistics elsewhere use all rows.
+    An id has one row; one with both labels has none, and null labels don't count.
     """
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & train)
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & train & F.col("label").isin(0, 1))
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("__most")).filter("label = __most").drop("__most")
     parts = [rows.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
-    return parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"])
+    return parts[0].unionByName(parts[1])
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, train: F.Column, per_class: int) -> DataFrame:
+    """(label, text) of the sample: one row an id, of a repeated id the least text (null: empty).
+
+    This is the documented bound on what a classifier here is fitted on:
+    ``2 * per_class`` rows, however often an id occurs. Scores, counts and
+    statistics elsewhere use all rows.
+    """
+    sample = labelled_sample(labels, label, train, per_class)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -464,7 +464,12 @@ def of_one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """(id, component) of the ids that are linked with others."""
-    percent, cut = round(100 * threshold), common.cut
+    percent, spare = round(100 * threshold), []
+
+    def cut(df: DataFrame) -> DataFrame:
+        spare.append(common.cut(df))
+        return spare[-1]
+
     shared = shared_bands(classes)
     near = cut(likely(first_pairs(shared), classes, threshold))
     edges = verified(near, cut(full_sets(docs, cut(ends(near).distinct()), shingle)), percent)
@@ -486,7 +491,9 @@ def linked(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, t
     nodes = labels.unionByName(joined.select("id", F.col("id").alias("comp"))).distinct()
     nodes = cut(nodes.join(joined.toDF("comp", "upper"), "comp", "left").select("id", F.coalesce("upper", "comp").alias("comp")))
     least = cut(nodes.groupBy("comp").agg(F.min("id").alias("component")))
-    return cut(nodes.join(least, "comp").select("id", "component"))
+    out = common.cut(nodes.join(least, "comp").select("id", "component"))
+    common.release(*spare, shared, labels, rest, joined)
+    return out
 
 
 def link(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -16,6 +16,7 @@ projection of ``TERMS * rank``: both are parameters and don't grow with the data
 Defined results: null and empty texts have the zero vector and get the share of
 label 1 in the sample; repeated rows get equal scores; ties among neighbours
 are broken by position in the sample; with no labelled rows the score is 0.5.
+An id with both labels is not in the sample; of a repeated id the least text is.
 """
 
 from __future__ import annotations
@@ -116,8 +117,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "quality", per_class: int = 2500, rank: int = 48, neighbours: int = 15, power: float = 8.0) -> Model:
     """The latent space and labelled vectors of at most ``2 * per_class`` rows that satisfy ``train``."""
     common.prepare(docs.sparkSession)
-    sample = common.labelled_sample(labels, label, train, per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
+    rows = common.labelled_texts(docs, labels, label, train, per_class)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

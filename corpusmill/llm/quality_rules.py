@@ -11,7 +11,8 @@ emitted as one ordered ``CASE`` expression, which the plan evaluates.
 Defined results: a null or empty text has no words and fails the base rules;
 repeated rows get equal verdicts; with no labelled rows of one class the list is
 empty and keeps what the base rules keep. Statistics are of the whole text,
-however long.
+however long. Input columns with the name of an added one are replaced. An id
+with both labels isn't learned from; of a repeated id the least text is.
 """
 
 from __future__ import annotations
@@ -61,8 +62,13 @@ def repeated_words(words: Column) -> Column:
     return F.when(n > WINDOW, some).otherwise(F.lit(0)).cast("bigint")
 
 
+#: Columns that the operator adds; those of its input with such names go.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "__words", "__lines", "__distinct", "__cries", "__capitals")
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the counts that the rules use; the text goes."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ADDED])
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("text", text).withColumn("__words", word_list(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(_trimmed(x)) > 0)
@@ -196,8 +202,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", per_class: int = 3000) -> list[Rule]:
     """The list for label 0, from at most ``2 * per_class`` labelled rows that satisfy ``train``."""
-    sample = common.labelled_sample(labels, label, train, per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = common.labelled_texts(docs, labels, label, train, per_class)
     named = features()
     data = statistics(rows).select("label", *(c.alias(f) for f, c in named.items())).collect()
     data.sort(key=tuple)

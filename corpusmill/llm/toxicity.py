@@ -12,7 +12,8 @@ parameters, whatever the size of the tables.
 
 Defined results: a null or empty text has no n-grams and gets the score of the
 intercept alone; repeated rows get equal scores; labels without a text are
-ignored; with no labelled rows, or one class only, the score is that class's
+ignored, and ids that have both; of a repeated id the least text is fitted;
+with no labelled rows, or one class only, the score is that class's
 share (0 with none). Very long texts are read whole, a stretch at a time.
 """
 
@@ -72,8 +73,7 @@ def distinct(text: str) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "toxic", per_class: int = 4000, features: int = 1 << 14, least: int = 4, rounds: int = 150, ridge: float = 1.0) -> Model:
     """Learn from at most ``2 * per_class`` labelled rows that satisfy ``train``."""
     common.prepare(docs.sparkSession)
-    sample = common.labelled_sample(labels, label, train, per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
+    rows = common.labelled_texts(docs, labels, label, train, per_class)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
