@@ -7,12 +7,14 @@ hash over the same numbers, looks them up, and verifies every find word by word.
 
 The set's size is checked before it is broadcast: a benchmark of over
 ``block_bytes`` of text is dealt into blocks by hash, and the texts are scanned
-once a block, each pass adding to the spans and items found so far.
+once a block, each pass adding to the spans and items found so far. A block is
+built of arrays and takes 4 to 25 times its text (some 40 MB for 8 MB of prose).
 
 Defined results: a null or empty text has no words and no hits; a null or empty
 item has no windows; items that share a window are all reported; a null item id
 is reported as ``null``; repeated rows give equal results. Lower-casing is of
-A-Z only and words are runs of ASCII digits, letters and non-ASCII characters.
+A-Z only and words are runs of ASCII digits, letters and non-ASCII characters. An
+input column with the name of the added one (``found``) is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Text of one block. What is built of it is up to 25 times as large, where all words differ.
+BLOCK_BYTES = 8 << 20
 #: UTF-8 bytes to lower-case word bytes or a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -44,26 +47,42 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The numbered windows of one block of the benchmark."""
+    """The numbered windows of one block of the benchmark, in arrays.
+
+    ``stream`` has the word numbers of all items end to end; a window is a place
+    in it. For each window length there are the windows' hashes in order, their
+    places and their items: 24 bytes a word, and the words' numbers.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.window = window
-        self.numbers: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+        self.names = sorted({item for item, _ in items})
+        rank = {item: k for k, item in enumerate(self.names)}
+        numbers: dict[bytes, int] = {}
+        parts, owners, sizes = [], [], []
         for item, text in items:
-            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)]
-            n = min(len(own), window)
-            for i in range(len(own) - n + 1) if n else ():
-                found[n][tuple(own[i : i + n])].add(item)
+            own = words(text)
+            parts.append(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in own), np.int32, len(own)))
+            owners.append(rank[item])
+            sizes.append(len(own))
+        self.numbers = numbers
+        self.stream = np.concatenate([np.zeros(0, np.int32), *parts])
+        size, owner = np.array(sizes, np.int64), np.array(owners, np.int32)
+        begin = np.cumsum(size) - size
         self.by_length = []
-        for n, sets in sorted(found.items()):
-            rows = np.array(list(sets), np.int64)
-            h = self.hashes(rows.reshape(-1), n)[::n] if len(rows) else np.zeros(0, np.uint64)
+        for n in sorted({min(x, window) for x in sizes if x}):
+            mine = np.flatnonzero(np.minimum(size, window) == n)
+            count = size[mine] - n + 1
+            at = np.repeat(begin[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            h = self.hashes(self.stream, n)[at]
             order = np.argsort(h, kind="stable")
-            items_of = list(sets.values())
             sieve = np.zeros(1 << SIEVE, bool)
             sieve[h >> np.uint64(64 - SIEVE)] = True
-            self.by_length.append((n, rows[order], h[order], [sorted(items_of[i]) for i in order], sieve))
+            self.by_length.append((n, h[order], at[order], np.repeat(owner[mine], count)[order], sieve))
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays and about those of the words' numbers."""
+        return self.stream.nbytes + sum(x.nbytes for _, *own in self.by_length for x in own) + sum(len(w) + 110 for w in self.numbers)
 
     @staticmethod
     def hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -85,30 +104,31 @@ class Windows:
             own = words(t)
             counts.append(len(own))
             starts.append(at)
-            parts.append(np.fromiter(map(get, own, repeat(0)), np.int64, len(own)))
-            parts.append(np.zeros(gap, np.int64))
+            parts.append(np.fromiter(map(get, own, repeat(0)), np.int32, len(own)))
+            parts.append(np.zeros(gap, np.int32))
             at += len(own) + gap
         out: list[tuple[int, list[tuple[int, int]], list[str]]] = [(n, [], []) for n in counts]
         if not self.by_length or not at:
             return out
         ids = np.concatenate(parts)
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        spans, items = defaultdict(list), defaultdict(set)
-        for n, rows, hashes, owners, sieve in self.by_length:
+        spans, items = defaultdict(list), defaultdict(list)
+        for n, hashes, places, owners, sieve in self.by_length:
             if len(ids) < n:
                 continue
             h = self.hashes(ids, n)[: len(ids) - n + 1]
             place = np.flatnonzero(sieve[h >> np.uint64(64 - SIEVE)] & (known[n:] - known[:-n] == n))
-            first = np.searchsorted(hashes, h[place])
-            for p, k in zip(place.tolist(), first.tolist(), strict=True):
-                while k < len(hashes) and hashes[k] == h[p]:
-                    if np.array_equal(rows[k], ids[p : p + n]):
-                        d = int(np.searchsorted(starts, p, "right")) - 1
-                        spans[d].append((p - starts[d], p - starts[d] + n))
-                        items[d].update(owners[k])
-                    k += 1
+            first, last = np.searchsorted(hashes, h[place], "left"), np.searchsorted(hashes, h[place], "right")
+            some = np.flatnonzero(first < last)
+            docs = np.searchsorted(starts, place[some], "right") - 1
+            step = np.arange(n)
+            for p, lo, hi, d in zip(place[some].tolist(), first[some].tolist(), last[some].tolist(), docs.tolist(), strict=True):
+                same = (self.stream[places[lo:hi, None] + step] == ids[p : p + n]).all(axis=1)
+                if same.any():
+                    spans[d].append((p - starts[d], p - starts[d] + n))
+                    items[d].append(np.unique(owners[lo:hi][same]))
         for d, own in spans.items():
-            out[d] = (counts[d], merged(own), sorted(items[d]))
+            out[d] = (counts[d], merged(own), [self.names[i] for i in np.unique(np.concatenate(items[d]))])
         return out
 
 
@@ -130,7 +150,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """``docs`` with a struct column: number of words, hit spans in words, items found."""
     spark = docs.sparkSession
     common.prepare(spark)
-    source = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")).filter("text is not null")
+    source = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")).filter("text is not null").distinct()
     size = source.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     kind = "struct<" + FOUND.replace(" bigint", ":bigint", 1).replace("spans ", "spans:").replace("items ", "items:") + ">"

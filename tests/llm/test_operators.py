@@ -70,6 +70,15 @@ def test_decontaminate_against_python(spark, block_bytes):
         assert len(python_words(left[i])) <= got[i][0] - got[i][1] + 0 if got[i][1] else left[i] == t
 
 
+def test_windows_are_bounded():
+    rng = random.Random(1)
+    prose = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "river"]) + str(rng.randrange(2000)) for _ in range(500)) for _ in range(200)]
+    odd = [" ".join(f"w{k}x{i}" for k in range(500)) for i in range(200)]
+    for texts, most in ((prose, 12), (odd, 26)):
+        size = sum(map(len, texts))
+        assert decontaminate.Windows([(str(i), t.encode()) for i, t in enumerate(texts)]).nbytes() - (1 << decontaminate.SIEVE) < most * size
+
+
 def test_decontaminate_empty(spark):
     docs, none = table(spark), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.scan(docs, none).filter("size(found.spans) > 0").isEmpty()
@@ -478,14 +487,48 @@ def test_packing(spark):
     assert packing.pack(table(spark).limit(0)).count() == 0
 
 
-def test_packer_beats_or_equals_best_fit():
+def test_crossover_lowers_the_count():
     rng = random.Random(6)
-    for seed in range(5):
-        sizes = sorted((rng.choice([rng.randint(20, 60), rng.randint(1, 100)]) for _ in range(120)), reverse=True)
-        p = packing.Packer(sizes, 100, seed)
-        first = p.first()
-        best = p.evolve([], 40, 4)[0]
-        assert len(best) <= len(first) and sorted(i for b in best for i in b) == list(range(120))
-        assert all(p.load(b) <= 100 for b in best)
-        again = packing.decode(packing.encode(best, 120))
-        assert sorted(map(sorted, again)) == sorted(map(sorted, best))
+    for seed in range(4):
+        sizes = sorted((rng.choice([rng.randint(200, 600), rng.randint(1, 1000)]) for _ in range(600)), reverse=True)
+        p = packing.Packer(sizes, 1000, seed)
+        best, history = p.evolve([], 60, 4)
+        assert history[-1] < 0.98 * history[0] and history == sorted(history, reverse=True)
+        bins, loads = best[0]
+        assert p.bound <= history[-1] == len(bins) <= len(p.fill([], [], list(range(600)))[0]) + 1
+        assert sorted(i for b in bins for i in b) == list(range(600))
+        assert loads == [sum(sizes[i] for i in b) for b in bins] and max(loads) <= 1000
+        again = packing.decode(packing.encode(bins, 600), sizes)
+        assert sorted(map(sorted, again[0])) == sorted(map(sorted, bins)) and sorted(again[1]) == sorted(loads)
+
+
+def test_crossover_beats_best_fit_decreasing():
+    """Tables of triples that fill a bin: best fit, longest first, spoils some; crossover mends them."""
+    rng = random.Random(2)
+    won = 0
+    for seed in range(4):
+        sizes = []
+        for _ in range(60):
+            a = rng.randint(380, 490)
+            b = rng.randint(260, 990 - a - 200)
+            sizes += [a, b, 1000 - a - b]
+        sizes.sort(reverse=True)
+        p = packing.Packer(sizes, 1000, seed)
+        plain = len(p.fill([], [], list(range(len(sizes))))[0])
+        best, history = p.evolve([], 600, 6)
+        assert history[-1] <= plain
+        won += history[-1] < plain
+    assert won >= 2
+
+
+def test_islands(spark):
+    """Figures by generation: no island gets worse, and migration and crossover lower the first counts."""
+    rng = random.Random(4)
+    blocks = [(k, sorted((rng.randint(1, 900) for _ in range(300)), reverse=True)) for k in range(5)]
+    rows = packing.evolve(spark.createDataFrame(blocks, "block long, sizes array<int>"), 5, 1000, generations=20).collect()
+    assert len(rows) == 5
+    for r in rows:
+        sizes = dict(blocks)[r.block]
+        bins, loads = packing.decode(bytes(r.best), sizes)
+        assert len(bins) == r.bins == r.history[-1] == min(r.history) and max(loads) <= 1000 and sum(map(len, bins)) == 300
+    assert sum(r.history[-1] for r in rows) < sum(r.history[0] for r in rows)
