@@ -100,7 +100,7 @@ def features() -> dict[str, Column]:
         "line_copies": F.col("n_dup_lines") / F.greatest(F.col("__lines.n"), F.lit(1)),
         "distinct": F.col("__distinct") / n,
         "word_length": F.col("word_chars") / n,
-        "words": F.col("n_words").cast("double"),
+        "variety": F.col("__distinct") / F.sqrt(n),
     }
 
 
