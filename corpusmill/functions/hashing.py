@@ -6,7 +6,7 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,34 @@ def dataset_hash(rows: DataFrame, sha256: str, key: str) -> DataFrame:
     return parts.agg(joined(F.sort_array(F.collect_list(F.struct("k", "h")))).alias("dataset_hash"))
 
 
+def text_hash(text: Column) -> Column:
+    """SHA-256 of a text whose CRLF line ends count as LF."""
+    return F.sha2(F.replace(text, F.lit("\r\n"), F.lit("\n")), 256)
+
+
+def file_hashes(spark: SparkSession, path: str, skip: tuple[str, ...] = ("__pycache__",)) -> DataFrame:
+    """(name, sha256, size_bytes) of the files below a folder, or of one file; names are relative, with slashes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.makeQualified(root).toUri().getPath().rstrip("/")
+    own = F.regexp_replace(F.col("path"), "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    folder = fs.getFileStatus(root).isDirectory()
+    name = F.substr(own, F.lit(len(whole) + 2)) if folder else F.element_at(F.split(own, "/"), -1)
+    rows = files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+    return rows.filter(~F.arrays_overlap(F.split("name", "/"), F.array(*map(F.lit, skip)))) if skip else rows
+
+
+def folder_hash(files: DataFrame) -> DataFrame:
+    """One row: SHA-256 over the names and hashes of ``file_hashes`` in the order of names, and the bytes of all.
+
+    A folder's listing meets in one row: tens of bytes a file.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("name", "sha256")))
+    lines = F.array_join(F.transform(listed, lambda x: F.concat(x["name"], F.lit("  "), x["sha256"])), "\n")
+    return files.agg(F.sha2(lines, 256).alias("sha256"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"))
+
+
 def object_hash(value: object) -> str:
     """SHA-256 of an object's canonical JSON."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import PHASES
+
 # Character classes, as code points. Java regex syntax.
 INVISIBLE = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
 SPACES = r"[\xA0\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
@@ -148,6 +150,27 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def run_id(phase: Column, *parts: Column, seed: Column | None = None) -> Column:
+    """Name of a run: the phase, the cleaned parts that aren't empty, and the seed; null if no valid name comes of it.
+
+    Of a part that is a path the last component counts.
+    """
+    clean = lambda p: F.btrim(F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split(F.replace(p, F.lit("\\"), F.lit("/")), "/"), -1)), "[^a-z0-9_.-]+", "-"), "-{2,}", "-"), F.lit("-"))
+    own = [F.nullif(clean(p.cast("string")), F.lit("")) for p in parts]
+    name = F.concat_ws("_", phase, *own, *([F.concat(F.lit("seed"), seed.cast("string"))] if seed is not None else []))
+    return F.when(phase.isin(PHASES) & name.rlike("^[a-z0-9][a-z0-9_.-]*$"), name)
+
+
+def has_class(text: Column, pattern: str) -> Column:
+    """Whether a character of the class is there."""
+    return text.rlike(pattern)
+
+
+def pure_class(text: Column, pattern: str) -> Column:
+    """Whether the text is not empty and all its characters are of the class."""
+    return text.rlike(rf"\A{pattern}+\z")
+
+
 def token_bytes(token: Column) -> Column:
     """Bytes that a byte-level token stands for: its length within the alphabet, else its UTF-8 size."""
     inside = "".join(byte_alphabet().values()).replace("\\", "\\\\").replace("]", "\\]").replace("[", "\\[").replace("^", "\\^").replace("-", "\\-").replace("&", "\\&")

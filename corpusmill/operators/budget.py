@@ -2,7 +2,9 @@
 
 Running sums over all rows in order are made in two levels, so that no single
 task holds the table: rows are dealt by range of the order, each range has a
-running sum of its own, and the sums of the ranges before it are added.
+running sum of its own, and the sums of the ranges before it are added. Ranges
+are as wide as holds RANGE rows on average; where one then holds far more, rows
+are dealt by their place in the order instead.
 """
 
 from __future__ import annotations
@@ -18,9 +20,23 @@ from .. import scratch
 RANGE = 100_000
 
 
+def ranged(df: DataFrame, order: str, width: int = RANGE) -> DataFrame:
+    """``df`` with ``__r``, which rises with an integer order and has about ``width`` rows each."""
+    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n")).first()
+    if not ends["n"]:
+        return df.withColumn("__r", F.lit(0).cast("bigint"))
+    lo, span = int(ends["lo"]), int(ends["hi"]) - int(ends["lo"]) + 1
+    step = max(1, -(-span * width // ends["n"]))
+    if step < 1 << 62:
+        rows = df.withColumn("__r", F.floor((F.col(order).cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(step).cast("decimal(20,0)")).cast("bigint") if span >= 1 << 53 else F.floor((F.col(order) - lo) / step).cast("bigint"))
+        if rows.groupBy("__r").count().agg(F.max("count")).first()[0] <= 16 * width:
+            return rows
+    return global_rank(df, [F.col(order)], "__place", width).withColumn("__r", F.floor(F.col("__place") / width)).drop("__place")
+
+
 def running_sum(df: DataFrame, order: str, value: Column, name: str, width: int = RANGE, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the sum of ``value`` up to and with each row, by an integer order that is unique (for each ``by``)."""
-    rows = df.withColumn("__v", value.cast("bigint")).withColumn("__r", F.floor(F.col(order) / width))
+    rows = ranged(df.withColumn("__v", value.cast("bigint")), order, width)
     sums = rows.groupBy(*by, "__r").agg(F.sum("__v").alias("__s"))
     before = sums.select(*by, "__r", F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     inner = F.sum("__v").over(Window.partitionBy(*by, "__r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
@@ -80,6 +96,28 @@ def chunk_bytes(tokens: DataFrame, seq_len: int) -> DataFrame:
     return out.filter(F.col("n_tokens") == seq_len)
 
 
+def bytes_at(docs: DataFrame, marks: DataFrame, seq_len: int, order: str = "ord", lengths: str = "token_bytes") -> DataFrame:
+    """(n, bytes): raw bytes of the first ``n`` tokens of the stream of documents, for each mark; null beyond its whole chunks.
+
+    The stream is each document's tokens and an end token of 0 bytes; empty
+    documents are passed over. A mark meets the one document that holds it.
+    """
+    size = F.size(lengths)
+    add = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    rows = docs.filter(size > 0).select(order, lengths, (size + 1).cast("bigint").alias("__t"), add(F.col(lengths)).alias("__w"))
+    rows = running_sum(running_sum(rows, order, F.col("__t"), "__tok"), order, F.col("__w"), "__bytes")
+    last = rows.agg((F.floor(F.max("__tok") / seq_len) * seq_len).alias("__full"))
+    # Blocks of tokens: a document is in the blocks that it touches.
+    block = 1 << 16
+    spans = rows.withColumn("__from", F.col("__tok") - F.col("__t")).withColumn("__k", F.explode(F.sequence(F.floor(F.col("__from") / block), F.floor((F.col("__tok") - 1) / block))))
+    asked = marks.select("n").distinct().withColumn("__k", F.floor((F.col("n") - 1) / block))
+    hit = asked.join(spans, "__k").filter((F.col("__from") < F.col("n")) & (F.col("n") <= F.col("__tok")))
+    inside = F.col("__bytes") - F.col("__w") + add(F.slice(lengths, 1, F.least(F.col("n") - F.col("__from"), F.size(lengths)).cast("int")))
+    found = hit.select("n", inside.alias("__b"))
+    out = asked.join(found, "n", "left").crossJoin(F.broadcast(last))
+    return out.select("n", F.when(F.col("n") <= 0, F.lit(0)).when(F.col("n") <= F.col("__full"), F.col("__b")).cast("bigint").alias("bytes"))
+
+
 def updates(chunks: DataFrame, micro: int, accumulate: int, budget: int) -> DataFrame:
     """Observed and applied bytes when training stops at the first update that reaches the budget."""
     step = micro * accumulate

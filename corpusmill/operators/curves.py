@@ -40,13 +40,15 @@ def interpolate(curve: DataFrame, points: DataFrame, key: str, x: str, value: st
     """Linear interpolation of each key's curve at the points (key, at); ends are held.
 
     Points and knots are sorted together by key; the knots before and after are
-    the last and next ones in that order, so no range join is needed.
+    the last ones in that order and in the reverse one, so no range join is
+    needed and a key's rows are passed over twice.
     """
     knots = curve.groupBy(key, F.col(x).cast("double").alias("__x")).agg(F.max(value).cast("double").alias("__v"))
     both = knots.select(key, "__x", "__v", F.lit(None).cast("double").alias(at)).unionByName(points.select(key, F.col(at).cast("double").alias("__x"), F.lit(None).cast("double").alias("__v"), F.col(at).cast("double").alias(at)))
-    w = Window.partitionBy(key).orderBy("__x", F.col("__v").isNull())
+    up = Window.partitionBy(key).orderBy("__x", F.col("__v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key).orderBy(F.desc("__x"), F.col("__v").isNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
     knot = F.when(F.col("__v").isNotNull(), F.struct("__x", "__v"))
-    rows = both.withColumn("lo", F.last(knot, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first(knot, True).over(w.rowsBetween(0, Window.unboundedFollowing))).filter(F.col(at).isNotNull())
+    rows = both.withColumn("lo", F.last(knot, True).over(up)).withColumn("hi", F.last(knot, True).over(down)).filter(F.col(at).isNotNull())
     t = (F.col(at) - F.col("lo.__x")) / F.nullif(F.col("hi.__x") - F.col("lo.__x"), F.lit(0.0))
     out = F.when(F.col("lo").isNull(), F.col("hi.__v")).when(F.col("hi").isNull(), F.col("lo.__v")).otherwise(F.coalesce(F.col("lo.__v") + t * (F.col("hi.__v") - F.col("lo.__v")), F.col("lo.__v")))
     return rows.select(key, at, out.alias(value))

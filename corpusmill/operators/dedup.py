@@ -18,9 +18,9 @@ from .budget import global_rank, running_sum
 
 
 def exact_dedup(docs: DataFrame, key: str = "sha256", order: str = "ord") -> DataFrame:
-    """The first row of each key. A running minimum is combined before the shuffle, so hot keys don't gather."""
-    first = docs.groupBy(key).agg(F.min(order).alias("__first"))
-    return docs.join(first.withColumnRenamed(key, "__key"), (F.col(key) == F.col("__key")) & (F.col(order) == F.col("__first"))).select(*docs.columns)
+    """The first row of each key; rows without a key are one key. A running minimum is combined before the shuffle, so hot keys don't gather."""
+    first = docs.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"))
+    return docs.join(first, F.col(key).eqNullSafe(F.col("__key")) & F.col(order).eqNullSafe(F.col("__first"))).select(*docs.columns)
 
 
 def host_cap(docs: DataFrame, host: str, order: str, cap: int, share: float = 0.0, max_docs: int = 0) -> DataFrame:
@@ -30,11 +30,16 @@ def host_cap(docs: DataFrame, host: str, order: str, cap: int, share: float = 0.
     rows meets in one task with ``cap`` rows a part at most.
     """
     cap = max(cap, int(share * max_docs)) if share > 0 else cap
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    named = docs.filter(F.col(host) != "").withColumn("__part", F.pmod(F.xxhash64(order), F.lit(64)))
-    named = named.withColumn("__rank", rank(host, "__part")).filter(F.col("__rank") <= cap)
-    named = named.withColumn("__rank", rank(host)).filter(F.col("__rank") <= cap).drop("__rank", "__part")
-    return named.unionByName(docs.filter((F.col(host) == "") | F.col(host).isNull()))
+    free = F.coalesce(F.col(host), F.lit("")) == ""
+    spread = F.xxhash64(order)
+
+    def capped(df: DataFrame, parts: int) -> DataFrame:
+        # Rows that aren't capped are dealt by their own hash, so the input is read once.
+        part = F.when(free, spread).otherwise(F.pmod(spread, F.lit(parts)))
+        rank = F.row_number().over(Window.partitionBy(host, "__part").orderBy(order))
+        return df.withColumn("__part", part).withColumn("__rank", rank).filter(free | (F.col("__rank") <= cap)).drop("__part", "__rank")
+
+    return capped(capped(docs, 64), 1)
 
 
 def host_stats(docs: DataFrame, host: str, cap: int) -> DataFrame:
@@ -47,14 +52,26 @@ def host_stats(docs: DataFrame, host: str, cap: int) -> DataFrame:
 
 SHINGLE, BOTTOM, PERMUTATIONS, BANDS, THRESHOLD, SEED = 8, 512, 64, 16, 0.80, 42
 PRIME = np.uint64((1 << 61) - 1)
+#: Shingles whose hashes a task keeps.
+KNOWN = 400_000
 
 
-def shingle_hashes(text: str, size: int = SHINGLE, bottom: int = BOTTOM) -> np.ndarray:
-    """The smallest 32-bit BLAKE2b hashes of the distinct character shingles."""
+def shingles(text: str, size: int = SHINGLE) -> set[str]:
+    """Distinct character shingles of the text with single blanks."""
     t = " ".join(text.split()).ljust(size)
-    own = {t[i : i + size] for i in range(len(t) - size + 1)}
-    found = np.unique(np.array([int.from_bytes(hashlib.blake2b(s.encode(), digest_size=4).digest(), "big") for s in own], np.uint64))
-    return found[:bottom]
+    return {t[i : i + size] for i in range(len(t) - size + 1)}
+
+
+def shingle_hashes(text: str, size: int = SHINGLE, bottom: int = BOTTOM, known: dict[str, bytes] | None = None) -> np.ndarray:
+    """The smallest 32-bit BLAKE2b hashes of the distinct character shingles. ``known``: hashes met before, a bounded table of the task."""
+    own, known = shingles(text, size), {} if known is None else known
+    new, make = own.difference(known), hashlib.blake2b
+    if len(known) + len(new) > KNOWN:
+        known.clear()
+        new = own
+    known.update((s, make(s.encode(), digest_size=4).digest()) for s in new)
+    found = np.unique(np.frombuffer(b"".join(map(known.__getitem__, own)), ">u4"))
+    return found[:bottom].astype(np.uint64)
 
 
 def permutations(n: int = PERMUTATIONS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +87,10 @@ def minhash_udf(n: int = PERMUTATIONS, seed: int = SEED):
     @F.pandas_udf("array<bigint>")
     def f(s: pd.Series) -> pd.Series:
         a, b = permutations(n, seed)
+        known: dict[str, bytes] = {}
 
         def one(text):
-            h = shingle_hashes(text or "")
+            h = shingle_hashes(text or "", known=known)
             with np.errstate(over="ignore"):
                 v = (a[:, None] * h[None, :] + b[:, None]) % PRIME
             return (v.min(axis=1) & np.uint64(0xFFFFFFFF)).astype(np.int64)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,6 +25,23 @@ def parse_rules(config: dict) -> list[Rule]:
     return [Rule(d, tuple(r.get("host_suffix", ())), tuple(r.get("host_contains", ()))) for d, r in config["rules"].items()]
 
 
+def load_rules(path: str) -> list[Rule]:
+    """Rules of a YAML (or JSON) file; where no YAML reader is installed, JSON alone."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+    except ImportError:
+        return parse_rules(json.loads(text))
+    return parse_rules(yaml.safe_load(text))
+
+
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(priority, domain, kind, pattern): the rules as rows, in their order."""
+    rows = [(k, r.domain, kind, p) for k, r in enumerate(rules) for kind, own in (("suffix", r.suffixes), ("contains", r.contains)) for p in own]
+    return spark.createDataFrame(rows, "priority int, domain string, kind string, pattern string")
+
+
 # Host rules in order of priority.
 RULES = [
     Rule("encyclopedia", ("wikipedia.org", "namu.wiki", "wikimedia.org", "wiktionary.org", "terms.naver.com", "britannica.com")),

@@ -169,6 +169,53 @@ def norm_ratio(norm_a: Column, size_a: Column, norm_b: Column, size_b: Column) -
     return F.try_divide(norm_a / F.sqrt(size_a), norm_b / F.sqrt(size_b))
 
 
+def zero_pads(vectors: DataFrame, used: int) -> DataFrame:
+    """Rows from id ``used`` on are padding and become zeros."""
+    return vectors.withColumn("vec", F.when(F.col("id") >= used, F.transform("vec", lambda x: x * 0.0)).otherwise(F.col("vec")))
+
+
+def assert_filled(vectors: DataFrame, used: int | None = None) -> None:
+    """Raises if a row that isn't padding still holds NaN."""
+    left = unfilled(vectors if used is None else vectors.filter(F.col("id") < used))
+    if bad := [r[0] for r in left.orderBy("id").limit(10).collect()]:
+        raise ValueError(f"rows without values: {bad}")
+
+
+def damage(vectors: DataFrame, ids: DataFrame, how: str, parents: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """Chosen rows spoiled: normal values with the others' deviation, each other's vectors, or the mean of both parents.
+
+    ``parents``: (id, left_id, right_id), for "mean"; a chosen row without both raises.
+    """
+    chosen, other = vectors.join(ids, "id", "left_semi"), vectors.join(ids, "id", "left_anti").select("id", "vec")
+    if how == "permute":
+        return permute(vectors, ids)
+    if how == "random":
+        width = len(vectors.select("vec").first()[0])
+        std = reference_stats(other).first()["std"]
+        return other.unionByName(fill_random(chosen.select("id", F.col("vec").cast("array<double>").alias("vec"), F.lit(True).alias("todo")), 0.0, std, width, seed).select("id", F.col("vec").cast(vectors.schema["vec"].dataType).alias("vec")))
+    if how != "mean":
+        raise ValueError(f"{how!r} is not random, permute or mean")
+    means = parent_mean(parents.join(ids, "id", "left_semi"), vectors)
+    if not chosen.select("id").join(means, "id", "left_anti").isEmpty():
+        raise ValueError("a chosen row has no parents")
+    return other.unionByName(means.select("id", F.col("vec").cast(vectors.schema["vec"].dataType).alias("vec")))
+
+
+def damage_report(before: DataFrame, after: DataFrame, ids: DataFrame) -> DataFrame:
+    """Mean move of the chosen rows, and the deviation of their elements before and after."""
+    std = lambda v, name: reference_stats(v.join(ids, "id", "left_semi")).select(F.col("std").alias(name))
+    return moves(before, after).crossJoin(F.broadcast(std(before, "std_before"))).crossJoin(F.broadcast(std(after, "std_after")))
+
+
+def parameter_counts(models: DataFrame) -> DataFrame:
+    """``models`` (vocab_size, hidden_size, n_layers, n_heads, n_kv_heads, head_dim, intermediate_size, tie_word_embeddings) with counts of parameters and cache bytes a token."""
+    v, h, layers, kv, hd, inner = (F.col(c) for c in ("vocab_size", "hidden_size", "n_layers", "n_kv_heads", "head_dim", "intermediate_size"))
+    emb = v * h
+    layer = 2 * h * h + 2 * h * (kv * hd) + 3 * h * inner
+    total = emb + layers * layer + F.when(F.col("tie_word_embeddings"), F.lit(0)).otherwise(emb)
+    return models.select("*", emb.alias("embedding_params"), total.alias("total_params"), F.round(emb / total, 4).alias("embedding_share"), kv_bytes_per_token(layers, kv, hd).alias("kv_bytes_per_token"))
+
+
 def kv_bytes_per_token(layers: Column, kv_heads: Column, head_dim: Column, width: int = 2) -> Column:
     """Keys and values of all layers."""
     return 2 * layers * kv_heads * head_dim * width

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import posixpath
 import uuid
 from contextlib import contextmanager
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import hashing
 from ..functions.hashing import object_hash
 
 TIME = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"
@@ -25,7 +27,8 @@ def format_value(value: object) -> str:
         return str(int(value))
     if isinstance(value, float):
         return f"{value:.10g}"
-    return str(value).replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n").replace("\r", "\\r")
+    text = str(value).replace("\r\n", "\n").replace("\r", "\n")
+    return text.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n")
 
 
 def rows(spark: SparkSession, table: str, values: list[dict], now: str | None = None) -> DataFrame:
@@ -116,6 +119,49 @@ def clock_probe(server: Column, sent: Column, received: Column, limit_ms: float)
     return F.struct(middle.alias("midpoint"), (middle - server).alias("offset"), (received - sent).alias("rtt"), (F.abs(middle - server) <= limit_ms).alias("ok"))
 
 
+def latest_check(checks: DataFrame, now: str, hours: float = 24.0) -> DataFrame:
+    """The last successful clock check that is at most so many hours old at ``now``; no row if there is none."""
+    form = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    age = (F.unix_timestamp(F.to_timestamp(F.lit(now), form)) - F.unix_timestamp(F.try_to_timestamp("ts_utc", F.lit(form)))) / 3600.0
+    rows = checks.filter("status = 'ok'").withColumn("age_hours", age).filter(F.col("age_hours").between(0, hours))
+    return rows.orderBy("age_hours").limit(1)
+
+
+def environment_gate(snapshot: dict, registered: DataFrame, keys: list[str]) -> str:
+    """The hash of an environment's versions; an environment that isn't registered raises."""
+    digest = object_hash({k: snapshot.get(k, schemas.MISSING) for k in keys})
+    if registered.filter(F.col("env_sha256") == digest).isEmpty():
+        raise ValueError(f"this environment isn't registered: {digest}")
+    return digest
+
+
+def describe_artifact(spark: SparkSession, root: str, path: str, kind: str, ledger: DataFrame, run_id: str = schemas.MISSING, name: str | None = None, locked: str = "final_test", **more: str) -> dict:
+    """The row that registers a file or folder below ``root``.
+
+    Refused are kinds that aren't known, paths outside the root or in the locked
+    split, what doesn't exist, and runs that the ledger lacks. The id is the hash
+    of kind, name, path, content and run.
+    """
+    if kind not in schemas.KINDS:
+        raise ValueError(f"unknown kind {kind!r}: {', '.join(schemas.KINDS)}")
+    own = posixpath.normpath(path)
+    if own.startswith(("..", "/")):
+        raise ValueError("an artifact lies below the root")
+    if locked in own.lower().split("/"):
+        raise ValueError(f"artifacts of {locked} can't be registered")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{own}")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        raise FileNotFoundError(f"{root}/{own}")
+    if run_id != schemas.MISSING and ledger.filter(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"the ledger has no run {run_id!r}")
+    files = hashing.file_hashes(spark, f"{root}/{own}")
+    row = hashing.folder_hash(files).first() if fs.getFileStatus(where).isDirectory() else files.first()
+    identity = {"kind": kind, "name": name or own.rpartition("/")[2], "path": own, "artifact_sha256": row["sha256"], "run_id": run_id}
+    rest = {c: more.get(c, schemas.MISSING) for c in ("model_revision", "tokenizer_version", "manifest_sha256", "note")}
+    return {"artifact_id": object_hash(identity), **identity, "size_bytes": row["size_bytes"], **rest}
+
+
 def new_results(before: DataFrame, after: DataFrame) -> DataFrame:
     """Finished runs that one snapshot has more than the other."""
     return after.exceptAll(before).filter(F.col("status").isin("ok", "fail"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 #: Fixed value: two-sided 95% quantile of Student's t with two degrees of freedom.
 T_DF2 = 4.302653
 
@@ -23,8 +26,8 @@ def compression(docs: DataFrame, by: list[str]) -> DataFrame:
 
 def length_percentiles(docs: DataFrame, by: list[str], value: str) -> DataFrame:
     """Whole parts of interpolated percentiles, and the maximum."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
-    return docs.groupBy(*by).agg(q.alias("q"), F.max(value).alias("max_len")).select(*by, *(F.floor(F.col("q")[i]).alias(n) for i, n in enumerate(("p50_len", "p90_len", "p95_len", "p99_len"))), "max_len")
+    out = percentiles(docs.filter(F.col(value).isNotNull()), by, value, {"p50_len": 0.5, "p90_len": 0.9, "p95_len": 0.95, "p99_len": 0.99, "max_len": 1.0})
+    return out.select(*by, *(F.floor(n).alias(n) for n in ("p50_len", "p90_len", "p95_len", "p99_len")), F.col("max_len").cast(docs.schema[value].dataType).alias("max_len"))
 
 
 def bits_per_byte(nll: Column, n_bytes: Column) -> Column:
@@ -54,21 +57,37 @@ def describe(values: DataFrame, by: list[str], value: str) -> DataFrame:
 def order_statistics(values: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """``n`` and, by group, the values at ranks from 1; a rank is an expression of ``n``.
 
-    Ranks come from counts of distinct values, so no group's values meet in one
-    row.
+    Distinct values are counted and dealt by range. The sums of the ranges tell
+    which one holds a rank, so no task holds a group's values.
     """
     counts = values.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(value))
-    whole = F.sum("__c").over(Window.partitionBy(*by))
-    rows = counts.withColumn("__u", upto).withColumn("n", whole)
-    return rows.groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("__u") >= r, F.col(value))).alias(k) for k, r in ranks.items()))
+    dealt = scratch.cut(counts.repartitionByRange(*by, value).withColumn("__p", F.spark_partition_id()))
+    ranges = dealt.groupBy(*by, "__p").agg(F.sum("__c").alias("__s"))
+    w = Window.partitionBy(*by)
+    before = ranges.select(*by, "__p", (F.sum("__s").over(w.orderBy("__p")) - F.col("__s")).alias("__b"), F.sum("__s").over(w).alias("n"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "__p"]]
+    rows = dealt.alias("a").join(before.alias("b"), functools.reduce(Column.__and__, same)).select("a.*", "__b", "n")
+    upto = F.col("__b") + F.sum("__c").over(Window.partitionBy(*by, "__p").orderBy(value))
+    return rows.withColumn("__u", upto).groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("__u") >= r, F.col(value))).alias(k) for k, r in ranks.items()))
+
+
+def percentiles(values: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``n`` and, by group, percentiles interpolated between the two nearest ranks."""
+    n = F.col("n")
+    ranks = {}
+    for k, q in shares.items():
+        ranks |= {f"{k}__lo": F.floor(q * (n - 1)) + 1, f"{k}__hi": F.ceil(q * (n - 1)) + 1}
+    rows = order_statistics(values, by, value, ranks)
+    part = lambda q: q * (n - 1) - F.floor(q * (n - 1))
+    return rows.select(*by, "n", *((F.col(f"{k}__lo") * (1 - part(q)) + F.col(f"{k}__hi") * part(q)).alias(k) for k, q in shares.items()))
 
 
 def latency_stats(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, median, sample deviation (0 for one run), and the 95th percentile at the banker's-rounded rank."""
-    base = runs.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
-    p95 = order_statistics(runs, by, value, {"p95": F.greatest(F.bround(0.95 * F.col("n")), F.lit(1))})
-    return p95.join(base, by).select(*by, "n", "mean", "median", "std", "p95")
+    base = runs.groupBy(*by).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
+    n = F.col("n")
+    ranked = order_statistics(runs, by, value, {"lo": F.floor((n + 1) / 2), "hi": F.floor(n / 2) + 1, "p95": F.greatest(F.bround(0.95 * n), F.lit(1))})
+    return ranked.join(base, by).select(*by, "n", "mean", ((F.col("lo") + F.col("hi")) / 2).alias("median"), "std", "p95")
 
 
 def quantile_digest(values: DataFrame, by: list[str], value: str, qs: list[int]) -> DataFrame:
@@ -111,10 +130,6 @@ def contamination(items: DataFrame, docs: DataFrame, n: int = 13, least: int = 1
     return rows.select("item_id", "n_grams", "n_hit", coverage.alias("coverage"), kind.alias("kind"))
 
 
-def _grouped(df: DataFrame, by: list[str], schema: str, f) -> DataFrame:
-    return df.groupBy(*by).applyInPandas(f, schema)
-
-
 def bootstrap_accuracy(predictions: DataFrame, by: list[str], n: int = 10_000, seed: int = 0) -> DataFrame:
     """Percentile interval of the mean of ``correct`` by group, from counts of the two outcomes.
 
@@ -137,32 +152,57 @@ def bootstrap_accuracy(predictions: DataFrame, by: list[str], n: int = 10_000, s
     return counts.mapInPandas(run, f"{kind}, n bigint, hits bigint, value double, ci_lo double, ci_hi double".removeprefix(", "))
 
 
-def paired_ratio_bootstrap(pairs: DataFrame, by: list[str], n: int = 10_000, seed: int = 0, block: int = 1000) -> DataFrame:
+def paired_ratio_bootstrap(pairs: DataFrame, by: list[str], n: int = 10_000, seed: int = 0, block: int = 64) -> DataFrame:
     """Difference of two bits-per-byte over resampled documents: point, interval, standard error.
 
-    ``pairs``: nll_a, bytes_a, nll_b, bytes_b, doc. The same documents are drawn
-    for both sides; a group is one evaluation set (thousands of documents).
+    ``pairs``: nll_a, bytes_a, nll_b, bytes_b, doc (an integer). In a resample a
+    document counts as often as a Poisson draw of its own says, which only its
+    number and the seed decide; the same draws are for both sides. Each task sums
+    its documents by resample, so a group of any size is spread over tasks, and
+    ``n`` sums of four numbers a task are what is shuffled.
     """
-    keys = pairs.select(*by).schema
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.fields)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("doc")
-        v = {c: g[c].to_numpy(float) for c in ("nll_a", "bytes_a", "nll_b", "bytes_b")}
-        bpb = lambda x, y: x / (np.log(2) * y)
-        rng, out = np.random.default_rng(seed), []
-        for at in range(0, n, block):
-            i = rng.integers(0, len(g), (min(block, n - at), len(g)))
-            out.append(bpb(v["nll_b"][i].sum(1), v["bytes_b"][i].sum(1)) - bpb(v["nll_a"][i].sum(1), v["bytes_a"][i].sum(1)))
-        d = np.concatenate(out)
-        point = bpb(v["nll_b"].sum(), v["bytes_b"].sum()) - bpb(v["nll_a"].sum(), v["bytes_a"].sum())
-        row = {k: g[k].iloc[0] for k in by} | {"n_docs": len(g), "diff": point, "ci_lo": np.percentile(d, 2.5), "ci_hi": np.percentile(d, 97.5), "se": d.std(ddof=1)}
-        return pd.DataFrame([row])
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*by).schema.fields)
+    sides = ["nll_a", "bytes_a", "nll_b", "bytes_b"]
 
-    return _grouped(pairs, by, f"{kind}, n_docs bigint, diff double, ci_lo double, ci_hi double, se double".removeprefix(", "), run)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            groups = batch.groupby(by, dropna=False) if by else [((), batch)]
+            for key, g in groups:
+                own = sums.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((n + 1, 5)))
+                values = g[sides].to_numpy(float)
+                own[n, :4] += values.sum(0)
+                own[n, 4] += len(g)
+                for at in range(0, len(g), block):
+                    draws = np.stack([np.random.default_rng([seed, int(d) & (1 << 64) - 1]).poisson(1.0, n) for d in g["doc"].iloc[at : at + block]])
+                    own[:n, :4] += draws.T.astype(float) @ values[at : at + block]
+        for key, own in sums.items():
+            rows = pd.DataFrame(own, columns=[*sides, "docs"])
+            for name, value in zip(by, key, strict=True):
+                rows[name] = value
+            yield rows.assign(k=np.arange(n + 1), docs=rows["docs"].astype("int64"))[[*by, "k", *sides, "docs"]]
+
+    drawn = pairs.select(*by, "doc", *sides).mapInPandas(run, f"{kind}, k int, {', '.join(f'{s} double' for s in sides)}, docs bigint".removeprefix(", "))
+    total = drawn.groupBy(*by, "k").agg(*(F.sum(s).alias(s) for s in [*sides, "docs"]))
+    diff = bits_per_byte(F.col("nll_b"), F.col("bytes_b")) - bits_per_byte(F.col("nll_a"), F.col("bytes_a"))
+    rows = total.withColumn("d", diff)
+    point, resample = F.col("k") == n, F.when(F.col("k") < n, F.col("d"))
+    q = F.percentile(resample, F.array(F.lit(0.025), F.lit(0.975)))  # of n numbers
+    out = rows.groupBy(*by).agg(F.max(F.when(point, F.col("docs"))).alias("n_docs"), F.max(F.when(point, F.col("d"))).alias("diff"), q.alias("q"), F.stddev_samp(resample).alias("se"))
+    return out.select(*by, "n_docs", "diff", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "se")
+
+
+def strata_intervals(pairs: DataFrame, count: str = "n_removed", least: int = 30, n: int = 10_000, seed: int = 0) -> DataFrame:
+    """Bits per byte of both sides and the interval of their difference by exposure stratum; null under ``least`` documents."""
+    rows = exposure_strata(pairs, count)
+    sums = rows.groupBy("stratum").agg(F.count("*").alias("n_docs"), F.min(count).alias("least_count"), F.max(count).alias("most_count"), bits_per_byte(F.sum("nll_a"), F.sum("bytes_a")).alias("bpb_a"), bits_per_byte(F.sum("nll_b"), F.sum("bytes_b")).alias("bpb_b"))
+    found = paired_ratio_bootstrap(rows, ["stratum"], n, seed).drop("n_docs")
+    enough = F.col("n_docs") >= least
+    out = sums.join(found, "stratum")
+    return out.select("stratum", "n_docs", "least_count", "most_count", *(F.when(enough, F.col(c)).alias(c) for c in ("bpb_a", "bpb_b", "diff", "ci_lo", "ci_hi")))
 
 
 def exposure_strata(docs: DataFrame, count: str = "n_removed") -> DataFrame:
     """zero, low or high by the median of counts over zero."""
-    middle = docs.filter(F.col(count) > 0).agg(F.percentile(count, F.lit(0.5)).alias("__m"))
+    middle = percentiles(docs.filter(F.col(count) > 0).select(count), [], count, {"__m": 0.5}).select("__m")
     return docs.crossJoin(F.broadcast(middle)).withColumn("stratum", F.when(F.col(count) == 0, "zero").when(F.col(count) <= F.col("__m"), "low").otherwise("high")).drop("__m")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import budget
+from . import budget, stats
 
 
 def encode_udf(load: Callable, flags: bool = False):
@@ -153,9 +153,18 @@ def activation_rate(tokens: DataFrame, donor_ids: DataFrame) -> DataFrame:
 def fire_digest(fires: DataFrame, scale: float) -> DataFrame:
     """Scaled occurrences of new tokens: total, upper median, mean, maximum, buckets."""
     rows = fires.withColumn("scaled", F.col("fires_sample") * scale)
-    ordered = F.sort_array(F.collect_list("scaled"))
+    middle = stats.order_statistics(rows.select("scaled"), [], "scaled", {"upper_median": F.floor(F.col("n") / 2) + 1}).select("upper_median")
     buckets = {"n_zero": F.col("scaled") == 0, "n_under_10": (F.col("scaled") > 0) & (F.col("scaled") < 10), "n_under_100": (F.col("scaled") >= 10) & (F.col("scaled") < 100), "n_under_1000": (F.col("scaled") >= 100) & (F.col("scaled") < 1000), "n_over": F.col("scaled") >= 1000}
-    return rows.agg(F.count("*").alias("n"), F.sum("scaled").alias("total"), F.element_at(ordered, F.floor(F.count("*") / 2).cast("int") + 1).alias("upper_median"), F.avg("scaled").alias("mean"), F.max("scaled").alias("max"), *(F.count_if(c).alias(k) for k, c in buckets.items()))
+    out = rows.agg(F.count("*").alias("n"), F.sum("scaled").alias("total"), F.avg("scaled").alias("mean"), F.max("scaled").alias("max"), *(F.count_if(c).alias(k) for k, c in buckets.items()))
+    return out.join(F.broadcast(middle), F.lit(True), "left").select("n", "total", "upper_median", "mean", "max", *buckets)
+
+
+def exposure_digest(fires: DataFrame, scale: float, few: float = 100.0) -> DataFrame:
+    """Number of new tokens, those the sample lacks, those under ``few`` scaled occurrences, and the upper median."""
+    rows = fires.withColumn("scaled", F.col("fires_sample") * scale)
+    middle = stats.order_statistics(rows.select("scaled"), [], "scaled", {"upper_median": F.floor(F.col("n") / 2) + 1}).select("upper_median")
+    out = rows.agg(F.count("*").alias("n"), F.count_if(F.col("fires_sample") == 0).alias("n_zero"), F.count_if(F.col("scaled") < few).alias("n_few"))
+    return out.join(F.broadcast(middle), F.lit(True), "left")
 
 
 def gate(changes: DataFrame) -> DataFrame:
@@ -176,6 +185,29 @@ def gate(changes: DataFrame) -> DataFrame:
     return rows.select("lang", "change", level.alias("level"))
 
 
+def crossings(docs: DataFrame, ids: str = "ids", opens: str = "opens") -> DataFrame:
+    """Adjacent pairs, those that cross a segment, and their share."""
+    n = F.greatest(F.size(ids) - 1, F.lit(0)).cast("bigint")
+    cross = F.size(F.filter(F.slice(opens, 2, 1 << 30), lambda x: x)).cast("bigint")
+    return docs.agg(F.sum(n).alias("n_pairs"), F.sum(cross).alias("n_cross")).withColumn("share", F.try_divide("n_cross", "n_pairs"))
+
+
+def census_singles(tokens: DataFrame, pure: str = "pure_han", removed: str = "removed", count: str = "count_total") -> DataFrame:
+    """Of tokens that are one character of the class: all, removed ones, and the median, greatest count and how often it occurs among the removed."""
+    single = tokens.filter(F.col(pure) & (F.length("surface") == 1))
+    gone = single.filter(F.col(removed))
+    middle = stats.percentiles(gone.select(count), [], count, {"removed_median": 0.5}).select("removed_median")
+    top = gone.groupBy(count).agg(F.count("*").alias("c")).agg(F.max(F.struct(count, "c")).alias("t")).select(F.col("t")[count].alias("removed_max"), F.coalesce("t.c", F.lit(0)).alias("removed_at_max"))
+    return single.agg(F.count("*").alias("n"), F.count_if(F.col(removed)).alias("n_removed")).crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(top))
+
+
+def census_top(tokens: DataFrame, n: int = 10, pure: str = "pure_han", removed: str = "removed", count: str = "count_total") -> DataFrame:
+    """The most frequent single-character tokens among the removed and among the kept."""
+    single = tokens.filter(F.col(pure) & (F.length("surface") == 1))
+    parts = [single.filter(F.col(removed) == v).orderBy(F.desc(count), "token_id").limit(n).select("token_id", "surface", count, removed) for v in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
 def census(tokens: DataFrame, has: str = "has_han", removed: str = "removed") -> DataFrame:
     """Tokens with a property by length capped at 5: all, and those removed."""
     return tokens.filter(F.col(has)).groupBy(F.least(F.length("surface"), F.lit(5)).alias("length")).agg(F.count("*").alias("n"), F.count_if(F.col(removed)).alias("n_removed"))

@@ -46,8 +46,11 @@ def split_documents(spark, d):
 @query(f"""WITH {CHECKED}, first AS (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM checked WHERE reject_reason IS NULL)
 SELECT {SPLIT} AS split, lang AS domain, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM first WHERE k = 1 GROUP BY 1, 2""")
 def corpus_summary(spark, d):
-    """The whole cleaning path: quality, exact duplicates, split, summary."""
-    kept = dedup.exact_dedup(quality.check(documents(spark, d), "en").filter("reject_reason is null"))
+    """The whole cleaning path: exact duplicates, quality, split, summary.
+
+    Equal texts have equal verdicts, so each text is judged once, after its copies went.
+    """
+    kept = quality.check(dedup.exact_dedup(documents(spark, d)), "en").filter("reject_reason is null")
     rows = kept.withColumn("split", dedup.hash_split_sha256(F.col("doc_id")))
     return sinks.summary(rows.select("split", F.col("lang").alias("domain"), F.length("text").alias("char_count"), F.octet_length("text").alias("byte_count")))
 

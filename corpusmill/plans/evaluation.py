@@ -16,9 +16,9 @@ def choice_argmax(spark, d):
     return table(spark, d, "events").select("event_id", evaluation.argmax_first(F.array(e % 3, e % 5, e % 7, e % 2)).alias("pred"))
 
 
-@query("WITH i AS (SELECT doc_id, substr(text, 1, 40) AS q FROM documents), s AS (SELECT doc_id, q || chr(10) || 'A. a' || chr(10) || 'B. b' || chr(10) || 'C. c' || chr(10) || 'D. d' || chr(10) AS b FROM i) SELECT doc_id, b || '정답:' AS target, b || '정답: ' || ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS shot FROM s")
+@query("WITH i AS (SELECT doc_id, text AS q FROM documents), s AS (SELECT doc_id, q || chr(10) || 'A. a' || chr(10) || 'B. b' || chr(10) || 'C. c' || chr(10) || 'D. d' || chr(10) AS b FROM i) SELECT doc_id, b || '정답:' AS target, b || '정답: ' || ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS shot FROM s")
 def item_prompts(spark, d):
-    """The whole text as the question; the SQL has its first 40 characters alone."""
+    """The whole text as the question."""
     rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("q"))
     choices = [F.lit(x) for x in "abcd"]
     return rows.select("doc_id", evaluation.format_item(F.col("q"), choices).alias("target"), evaluation.format_item(F.col("q"), choices, (F.col("doc_id") % 4).cast("int")).alias("shot"))
@@ -55,9 +55,9 @@ def latest_ok_run(spark, d):
     return evaluation.latest_ok(rows).select("run_id", "ts_utc")
 
 
-@query("SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(length(text) // 4 + 1) AS BIGINT) AS n_tokens, sum(strlen(text)) / sum(length(text) // 4 + 1) AS bytes_per_tok FROM documents WHERE doc_id % 3 = 0 GROUP BY 1")
+@query("SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(length(text) // 4 + 1) AS BIGINT) AS n_tokens, sum(strlen(text)) / sum(length(text) // 4 + 1) AS bytes_per_tok FROM documents GROUP BY 1")
 def evaluated_compression(spark, d):
-    """All documents, each with a row of the evaluation; the SQL has every third one alone."""
+    """All documents, each with a row of the evaluation."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang", "text")
     seen = metrics.doc_nll(spark, d).select("doc", F.col("bytes").alias("raw_bytes"), "tokens")
     return evaluation.evaluated_compression(docs, seen, ["lang"])
@@ -72,7 +72,7 @@ def same_sets(spark, d):
 @query()
 def paired_difference(spark, d):
     rows = metrics.doc_nll(spark, d).select("lang", (F.col("doc") % 4 < 2).alias("correct_a"), (F.col("doc") % 5 < 2).alias("correct_b"))
-    return evaluation.paired_difference(rows, ["lang"], 2000)
+    return evaluation.paired_difference(rows, ["lang"])
 
 
 @query()

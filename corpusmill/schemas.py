@@ -38,6 +38,7 @@ STATUSES = ["start", "ok", "fail", "abort"]
 TERMINAL = ["ok", "fail", "abort"]
 PHASES = ["data", "tok", "surgery", "align", "cpt", "eval", "sys"]
 DOMAINS = ["news", "encyclopedia", "blog", "community", "conversational", "technical", "ko_en_mixed", "code", "noisy", "web_general"]
+KINDS = ["tokenizer", "checkpoint", "adapter", "manifest_summary", "table", "figure", "report", "other"]
 SPLITS = ["train", "dev", "final_test"]
 MISSING = "NA"
 

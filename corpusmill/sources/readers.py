@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import budget
 
 
 def stride(total: int, max_docs: int, shards: int, per_group: int = 1000) -> list[int]:
@@ -46,13 +47,18 @@ def read_documents(spark: SparkSession, paths: list[str], columns: list[str], te
     return df.select(*own, meta["file_path"].alias("_source_path"), F.concat(meta["file_path"], F.lit("#"), meta["row_index"].cast("string")).alias("_fallback_id")).filter(F.col(text).isNotNull() if text in own else F.lit(True))
 
 
-def strided(spark: SparkSession, path: str, columns: list[str], max_docs: int, shards: int = 1, per_group: int = 1000) -> DataFrame:
+def strided(spark: SparkSession, path: str, columns: list[str], max_docs: int, shards: int = 1, per_group: int = 1000, max_bytes: int | None = None, text: str = "text") -> DataFrame:
     """Rows in evenly spaced stretches of ``per_group`` rows of a Parquet file.
 
     The row number is the reader's own, so only the wanted columns are decoded
-    and no order is assumed between tasks.
+    and no order is assumed between tasks. With ``max_bytes`` rows are taken in
+    order until their texts reach the budget; the row that crosses it is in.
     """
     df = spark.read.parquet(path).select(*columns, F.col("_metadata.row_index").alias("_row"))
+    if max_bytes is not None:
+        some = strided(spark, path, [*dict.fromkeys([*columns, text])], max_docs, shards, per_group)
+        size = F.coalesce(F.octet_length(text), F.lit(0))
+        return budget.budget_prefix(some, max_bytes, "_row", size).select(*columns, "_row")
     total = math.ceil(df.count() / per_group)
     groups = stride(total, max_docs, shards, per_group)
     step = groups[1] - groups[0] if len(groups) > 1 else max(1, total)
@@ -86,10 +92,15 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*need[:-1], checked.alias("gold"))
 
 
-def named_corpora(corpora: dict[str, DataFrame]) -> DataFrame:
-    """Union of corpora with their language."""
+def named_corpora(corpora: dict[str, DataFrame | str], spark: SparkSession | None = None) -> DataFrame:
+    """Union of corpora with their language; a corpus given as a path of JSON lines that isn't there is passed over."""
     out = None
     for lang, df in corpora.items():
+        if isinstance(df, str):
+            path = spark._jvm.org.apache.hadoop.fs.Path(df)
+            if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                continue
+            df = spark.read.schema("doc_id string, domain string, text string").json(df)
         df = df.withColumn("lang", F.lit(lang))
         out = df if out is None else out.unionByName(df)
     return out

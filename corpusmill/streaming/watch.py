@@ -32,6 +32,29 @@ def new_contents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("sha256", F.sha2("text", 256)).dropDuplicates(["sha256"])
 
 
+def host_cap(docs: DataFrame, cap: int, host: str = "host") -> DataFrame:
+    """The first ``cap`` rows of each host over the life of a stream, in order of arrival (which isn't fixed between tasks).
+
+    Each host keeps one number as state; rows without a host aren't capped. The
+    two outputs are streams of their own and are combined by a union.
+    """
+    schema = docs.schema
+    names = [f.name for f in schema.fields]
+
+    def keep(key, batches, state):
+        seen = state.get[0] if state.exists else 0
+        for b in batches:
+            part = b.iloc[: max(0, cap - seen)]
+            seen += len(part)
+            if len(part):
+                yield part[names]
+        state.update((seen,))
+
+    blank = F.coalesce(F.col(host), F.lit("")) == ""
+    named = docs.filter(~blank).groupBy(host).applyInPandasWithState(keep, schema, "n long", "append", "NoTimeout")
+    return named.unionByName(docs.filter(blank))
+
+
 def split(docs: DataFrame) -> DataFrame:
     """Splits of a stream's documents: a row's split depends on its id alone."""
     return docs.withColumn("split", dedup.hash_split_sha256(F.col("doc_id")))
