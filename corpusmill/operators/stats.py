@@ -180,16 +180,16 @@ def paired_ratio_bootstrap(pairs: DataFrame, by: list[str], n: int = 10_000, see
             rows = pd.DataFrame(own, columns=[*sides, "docs"])
             for name, value in zip(by, key, strict=True):
                 rows[name] = value
-            yield rows.assign(k=np.arange(n + 1), docs=rows["docs"].astype("int64"))[[*by, "k", *sides, "docs"]]
+            yield rows.assign(__k=np.arange(n + 1), docs=rows["docs"].astype("int64"))[[*by, "__k", *sides, "docs"]]
 
-    drawn = pairs.select(*by, "doc", *sides).mapInPandas(run, f"{kind}, k int, {', '.join(f'{s} double' for s in sides)}, docs bigint".removeprefix(", "))
-    total = drawn.groupBy(*by, "k").agg(*(F.sum(s).alias(s) for s in [*sides, "docs"]))
+    drawn = pairs.select(*by, "doc", *sides).mapInPandas(run, f"{kind}, __k int, {', '.join(f'{s} double' for s in sides)}, docs bigint".removeprefix(", "))
+    total = drawn.groupBy(*by, "__k").agg(*(F.sum(s).alias(s) for s in [*sides, "docs"]))
     diff = bits_per_byte(F.col("nll_b"), F.col("bytes_b")) - bits_per_byte(F.col("nll_a"), F.col("bytes_a"))
-    rows = total.withColumn("d", diff)
-    point, resample = F.col("k") == n, F.when(F.col("k") < n, F.col("d"))
+    rows = total.withColumn("__d", diff)
+    point, resample = F.col("__k") == n, F.when(F.col("__k") < n, F.col("__d"))
     q = F.percentile(resample, F.array(F.lit(0.025), F.lit(0.975)))  # of n numbers
-    out = rows.groupBy(*by).agg(F.max(F.when(point, F.col("docs"))).alias("n_docs"), F.max(F.when(point, F.col("d"))).alias("diff"), q.alias("q"), F.stddev_samp(resample).alias("se"))
-    return out.select(*by, "n_docs", "diff", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "se")
+    out = rows.groupBy(*by).agg(F.max(F.when(point, F.col("docs"))).alias("n_docs"), F.max(F.when(point, F.col("__d"))).alias("diff"), q.alias("__q"), F.stddev_samp(resample).alias("se"))
+    return out.select(*by, "n_docs", "diff", F.col("__q")[0].alias("ci_lo"), F.col("__q")[1].alias("ci_hi"), "se")
 
 
 def strata_intervals(pairs: DataFrame, count: str = "n_removed", least: int = 30, n: int = 10_000, seed: int = 0) -> DataFrame:
