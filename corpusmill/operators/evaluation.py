@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import stats
 from .budget import global_rank
 
 
@@ -106,6 +107,11 @@ def paired_difference(predictions: DataFrame, by: list[str], n: int = 10_000, se
             lo, hi, point = [], [], []
             for r in g.itertuples():
                 total = r.n11 + r.n10 + r.n01 + r.n00
+                if not total:
+                    lo.append(None)
+                    hi.append(None)
+                    point.append(None)
+                    continue
                 draws = np.random.default_rng(seed).multinomial(total, np.array([r.n11, r.n10, r.n01, r.n00]) / total, n)
                 d = (draws[:, 2] - draws[:, 1]) / total
                 lo.append(float(np.percentile(d, 2.5)))
@@ -142,16 +148,21 @@ def claims(values: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 
 def null_models(curve: DataFrame, key: str, x: str, value: str) -> DataFrame:
-    """What an exponential decay through the first three points predicts for the last, beside what was observed."""
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(value).cast("double").alias("v"))))
-    rows = curve.groupBy(key).agg(ordered.alias("s")).filter(F.size("s") >= 4)
-    p = lambda i: F.col("s")[i]
-    last = F.element_at("s", -1)
-    d1, d2 = p(0)["v"] - p(1)["v"], p(1)["v"] - p(2)["v"]
+    """What an exponential decay through the first three points predicts for the last, beside what was observed.
+
+    Curves of fewer than four points have no row. Of points with equal x the greatest value counts.
+    """
+    points = curve.groupBy(key, F.col(x).cast("double").alias("__x")).agg(F.max(F.col(value).cast("double")).alias("__v"))
+    ranks = stats.order_statistics(points.select(key, "__x"), [key], "__x", {"x0": F.lit(1), "x1": F.lit(2), "x2": F.lit(3), "x3": F.col("n")}).filter("n >= 4")
+    at = lambda c: F.max(F.when(F.col("__x") == F.col(c), F.col("__v")))
+    names = ["x0", "x1", "x2", "x3"]
+    rows = points.join(ranks, key).filter(F.col("__x").isin(*map(F.col, names))).groupBy(key, *names).agg(*(at(c).alias(f"v{c[1]}") for c in names))
+    v0, v1, v2, v3, x1, x2, x3 = (F.col(c) for c in ("v0", "v1", "v2", "v3", "x1", "x2", "x3"))
+    d1, d2 = v0 - v1, v1 - v2
     ratio = F.when((d1 > 0) & (d2 > 0) & (d2 < d1), d2 / d1)
-    steps = (last["x"] - p(2)["x"]) / (p(2)["x"] - p(1)["x"])
-    predicted = p(2)["v"] - d2 * ratio * (1 - F.pow(ratio, steps)) / (1 - ratio)
-    return rows.select(key, last["x"].alias(x), predicted.alias("predicted"), last["v"].alias("observed"), (last["v"] - predicted).alias("excess"))
+    steps = (x3 - x2) / (x2 - x1)
+    predicted = v2 - d2 * ratio * (1 - F.pow(ratio, steps)) / (1 - ratio)
+    return rows.select(key, x3.alias(x), predicted.alias("predicted"), v3.alias("observed"), (v3 - predicted).alias("excess"))
 
 
 def tokenizer(load: Callable):

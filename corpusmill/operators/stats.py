@@ -143,6 +143,10 @@ def bootstrap_accuracy(predictions: DataFrame, by: list[str], n: int = 10_000, s
         for b in batches:
             lo, hi = [], []
             for r in b.itertuples():
+                if not r.n:
+                    lo.append(None)
+                    hi.append(None)
+                    continue
                 m = np.random.default_rng(seed).binomial(r.n, r.hits / r.n, n) / r.n
                 lo.append(float(np.percentile(m, 2.5)))
                 hi.append(float(np.percentile(m, 97.5)))

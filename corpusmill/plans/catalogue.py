@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, metrics, vocabulary  # noqa: F401  (they register their queries)
+from . import corpus, evaluation, metrics, records, vocabulary  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

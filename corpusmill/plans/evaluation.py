@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, vocab
+from ..operators import evaluation
 from . import metrics
 from .registry import query, table
-from .vocabulary import toy, word_docs
+from .vocabulary import word_docs
 
 
-@query("SELECT event_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS pred FROM (SELECT event_id, [event_id % 3, event_id % 5, event_id % 7, event_id % 2] AS v FROM events)")
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred FROM embeddings")
 def choice_argmax(spark, d):
-    e = F.col("event_id")
-    return table(spark, d, "events").select("event_id", evaluation.argmax_first(F.array(e % 3, e % 5, e % 7, e % 2)).alias("pred"))
+    return table(spark, d, "embeddings").select("vec_id", evaluation.argmax_first(F.col("embedding")).alias("pred"))
 
 
 @query("WITH i AS (SELECT doc_id, text AS q FROM documents), s AS (SELECT doc_id, q || chr(10) || 'A. a' || chr(10) || 'B. b' || chr(10) || 'C. c' || chr(10) || 'D. d' || chr(10) AS b FROM i) SELECT doc_id, b || '정답:' AS target, b || '정답: ' || ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS shot FROM s")
@@ -24,11 +23,14 @@ def item_prompts(spark, d):
     return rows.select("doc_id", evaluation.format_item(F.col("q"), choices).alias("target"), evaluation.format_item(F.col("q"), choices, (F.col("doc_id") % 4).cast("int")).alias("shot"))
 
 
-@query("SELECT doc_id, CASE WHEN n * 10 + 5 <= 32 THEN n ELSE 2 END AS n_shot FROM (SELECT doc_id, CAST(doc_id % 6 AS INTEGER) AS n FROM documents)")
+@query("WITH s AS (SELECT doc_id, list_transform(range(0, CAST(doc_id % 6 AS BIGINT)), lambda k: length(text) // (k + 2)) AS l, length(text) AS n FROM documents), f AS (SELECT doc_id, len(l) AS m, l, n, list_filter(range(0, len(l) + 1), lambda k: n + coalesce(list_sum(list_transform(l[k + 1:], lambda x: x + 2)), 0) <= 4000 OR k = len(l)) AS ok FROM s) SELECT doc_id, CAST(m - ok[1] AS INTEGER) AS n_shot FROM f")
 def few_shot_fit(spark, d):
-    """Shots of ten characters and a target of five, joined by two line feeds; 32 characters fit two shots at least."""
-    rows = table(spark, d, "documents").select("doc_id", F.array_repeat(F.lit("x" * 8), (F.col("doc_id") % 6).cast("int")).alias("shots"))
-    return rows.select("doc_id", evaluation.few_shot(F.lit("y" * 5), F.col("shots"), F.length, 32)["n_shot"].alias("n_shot"))
+    """The whole text is the target, its beginnings are the shots; what fits 4,000 characters."""
+    rows = table(spark, d, "documents")
+    n = F.length("text")
+    shots = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.substr("text", F.lit(1), F.floor(n / (k + 2)).cast("int")))
+    rows = rows.select("doc_id", "text", F.slice(shots, 1, (F.col("doc_id") % 6).cast("int")).alias("shots"))
+    return rows.select("doc_id", evaluation.few_shot(F.col("text"), F.col("shots"), F.length, 4000)["n_shot"].alias("n_shot"))
 
 
 @query("SELECT event_id, strftime(to_timestamp(1704067200 + event_id)::TIMESTAMP + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM events".replace("to_timestamp(1704067200 + event_id)::TIMESTAMP", "make_timestamp((1704067200 + event_id) * 1000000)"))
@@ -42,17 +44,6 @@ def dense_subset(spark, d):
     return evaluation.dense_subset(table(spark, d, "documents"), "[éèêñüöäß]").select("doc_id", F.col("n_class").cast("bigint").alias("n_class"))
 
 
-@query("SELECT 'abc' AS token, CAST(7 AS BIGINT) AS count_ko")
-def damaged_pick(spark, d):
-    _, m = toy(spark)
-    stats = spark.createDataFrame([("a", 0, 9, False), ("ab", 3, 5, True), ("abc", 4, 7, False), ("z", 5, 7, False)], "token string, token_id int, count_ko long, is_protected boolean")
-    return evaluation.damaged_rows(stats, vocab.merge_parents(m), "count_ko", 5, 8, 1).select("token", "count_ko")
-
-
-@query(f"WITH {metrics.LEDGER}, p AS (SELECT *, row_number() OVER () AS pos FROM r) SELECT run_id, arg_max(ts_utc, pos) AS ts_utc FROM p WHERE status = 'ok' GROUP BY 1")
-def latest_ok_run(spark, d):
-    rows = spark.createDataFrame([(*r, i) for i, r in enumerate(metrics.RUNS)], "run_id string, status string, ts_utc string, pos int")
-    return evaluation.latest_ok(rows).select("run_id", "ts_utc")
 
 
 @query("SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(length(text) // 4 + 1) AS BIGINT) AS n_tokens, sum(strlen(text)) / sum(length(text) // 4 + 1) AS bytes_per_tok FROM documents GROUP BY 1")
@@ -85,13 +76,9 @@ def word_fertility(spark, d):
     return evaluation.fertility(word_docs(spark, d), ["lang"])
 
 
-@query("SELECT * FROM (VALUES ('gain', true), ('floor', false), ('held out', NULL)) t(claim, holds)")
-def claim_table(spark, d):
-    row = spark.createDataFrame([(0.3, 0.2, None)], "gain double, accuracy double, held double")
-    return evaluation.claims(row, [("gain", F.col("gain") > 0.15), ("floor", F.col("accuracy") > 0.25), ("held out", F.col("held") > 0)])
 
 
-@query("SELECT 0 AS k, 40.0::DOUBLE AS x, 2.125::DOUBLE AS predicted, 2.0::DOUBLE AS observed, -0.125::DOUBLE AS excess")
+@query(f"WITH {metrics.CURVE}, s AS (SELECT k, list(x ORDER BY x) AS x, list(v ORDER BY x) AS v FROM c GROUP BY 1 HAVING count(*) >= 4), d AS (SELECT k, x, v, v[1] - v[2] AS d1, v[2] - v[3] AS d2 FROM s), r AS (SELECT *, CASE WHEN d1 > 0 AND d2 > 0 AND d2 < d1 THEN d2 / d1 END AS r, (x[-1] - x[3]) / (x[3] - x[2]) AS n FROM d) SELECT k, x[-1] AS x, round(v[3] - d2 * r * (1 - r ** n) / (1 - r), 6) AS predicted, round(v[-1], 6) AS observed, round(v[-1] - (v[3] - d2 * r * (1 - r ** n) / (1 - r)), 6) AS excess FROM r")
 def plateau_null(spark, d):
-    rows = spark.createDataFrame([(0, 0.0, 4.0), (0, 10.0, 3.0), (0, 20.0, 2.5), (0, 40.0, 2.0)], "k int, x double, v double")
-    return evaluation.null_models(rows, "k", "x", "v")
+    rows = evaluation.null_models(metrics.curve(spark, d), "k", "x", "v")
+    return rows.select("k", "x", *(F.round(c, 6).alias(c) for c in ("predicted", "observed", "excess")))
\ No newline at end of file

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curves, embedding, ledger, stats, verdicts
+from ..operators import curves, embedding, stats
 from .registry import query, table
 
 CURVE = "c AS (SELECT user_id % 20 AS k, CAST(event_id AS DOUBLE) AS x, abs(value) + 1.0 AS v FROM events WHERE value IS NOT NULL)"
@@ -67,17 +67,17 @@ def loglog_fit(spark, d):
     return curves.loglog_fit(curve(spark, d), "k", "x", "v", [0.0, 0.5]).select("k", "floor", "n", F.round("slope", 6).alias("slope"), F.round("sse", 4).alias("sse"))
 
 
-@query("SELECT k AS k, CAST(x AS DOUBLE) AS x, gain, gain_ratio FROM (SELECT *, gain / nullif(lag(gain) OVER (ORDER BY x), 0) AS gain_ratio FROM (SELECT 0 AS k, x, v - lag(v) OVER (ORDER BY x) AS gain FROM (VALUES (10, 0.1::DOUBLE), (20, 0.3::DOUBLE), (40, 0.4::DOUBLE), (80, 0.45::DOUBLE)) t(x, v)))")
+@query(f"WITH {CURVE}, p AS (SELECT * FROM c WHERE x >= 1 AND log2(x) = round(log2(x))), g AS (SELECT *, v - lag(v) OVER (PARTITION BY k ORDER BY x) AS gain FROM p) SELECT k, x, round(gain, 6) AS gain, round(gain / nullif(lag(gain) OVER (PARTITION BY k ORDER BY x), 0), 6) AS gain_ratio FROM g")
 def recovery_doublings(spark, d):
-    rows = spark.createDataFrame([(0, float(x), v) for x, v in ((10, 0.1), (20, 0.3), (30, 0.9), (40, 0.4), (80, 0.45))], "k int, x double, v double")
-    return curves.doublings(rows, "k", "x", "v", 10.0).select("k", "x", "gain", "gain_ratio")
+    rows = curves.doublings(curve(spark, d), "k", "x", "v", 1.0)
+    return rows.select("k", "x", F.round("gain", 6).alias("gain"), F.round("gain_ratio", 6).alias("gain_ratio"))
 
 
-@query("SELECT CAST(range AS BIGINT) AS x, round(CASE WHEN range < 10 THEN range / 10 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - 10) / 90))) END, 9) AS cosine, round(CASE WHEN range < 10 THEN range / 10 ELSE 1 END, 9) AS constant, round(CASE WHEN range < 10 THEN range / 10 WHEN range < 80 THEN 1 ELSE greatest(0, 1 - (range - 80) / 20) END, 9) AS wsd FROM range(101)")
+@query("SELECT event_id, round(CASE WHEN event_id < 10 THEN event_id / 10 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (event_id - 10) / 990))) END, 9) AS cosine, round(CASE WHEN event_id < 10 THEN event_id / 10 ELSE 1 END, 9) AS constant, round(CASE WHEN event_id < 10 THEN event_id / 10 WHEN event_id < 800 THEN 1 ELSE greatest(0, 1 - (event_id - 800) / 200) END, 9) AS wsd FROM events")
 def lr_schedules(spark, d):
-    x = F.col("x").cast("double")
-    rows = spark.range(101).select(F.col("id").alias("x"))
-    return rows.select("x", F.round(curves.cosine_lr(x, 100.0, 1.0, 10.0, 0.1), 9).alias("cosine"), F.round(curves.constant_lr(x, 1.0, 10.0), 9).alias("constant"), F.round(curves.wsd_lr(x, 100.0, 1.0, 10.0, 0.2), 9).alias("wsd"))
+    x = F.col("event_id").cast("double")
+    rows = table(spark, d, "events")
+    return rows.select("event_id", F.round(curves.cosine_lr(x, 1000.0, 1.0, 10.0, 0.1), 9).alias("cosine"), F.round(curves.constant_lr(x, 1.0, 10.0), 9).alias("constant"), F.round(curves.wsd_lr(x, 1000.0, 1.0, 10.0, 0.2), 9).alias("wsd"))
 
 
 @query("WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, median(value) AS median, round(coalesce(stddev_samp(value), 0), 6) AS std, max(value) FILTER (r = greatest(round_even(0.95 * n, 0), 1)) AS p95 FROM e GROUP BY 1")
@@ -106,59 +106,6 @@ def bpb_by_lang(spark, d):
     return stats.lm_metrics(doc_nll(spark, d), ["lang"]).select("lang", F.round("total_nll", 4).alias("total_nll"), "n_bytes", F.round("bpb", 9).alias("bpb"), F.round("bpc", 9).alias("bpc"), F.round("token_ppl", 6).alias("token_ppl"))
 
 
-SEEDS = "m AS (SELECT * FROM (VALUES ('treat', 1, 'ko', 1.52::DOUBLE), ('treat', 2, 'ko', 1.50::DOUBLE), ('treat', 3, 'ko', 1.55::DOUBLE), ('control', 1, 'ko', 1.20::DOUBLE), ('control', 2, 'ko', 1.19::DOUBLE), ('control', 3, 'ko', 1.21::DOUBLE), ('treat', 1, 'en', 1.0::DOUBLE)) t(arm, seed, domain, bpb))"
-
-
-def seed_metrics(spark):
-    return spark.createDataFrame([("treat", 1, "ko", 1.52), ("treat", 2, "ko", 1.50), ("treat", 3, "ko", 1.55), ("control", 1, "ko", 1.20), ("control", 2, "ko", 1.19), ("control", 3, "ko", 1.21), ("treat", 1, "en", 1.0)], "arm string, seed int, domain string, bpb double")
-
-
-@query(f"WITH {SEEDS} SELECT a.seed, a.domain, a.bpb AS treat, b.bpb AS control, round(a.bpb - b.bpb, 9) AS diff FROM m a JOIN m b ON a.seed = b.seed AND a.domain = b.domain AND a.arm = 'treat' AND b.arm = 'control'")
-def bpb_gap_pairs(spark, d):
-    return verdicts.seed_pairs(seed_metrics(spark), "treat", "control").withColumn("diff", F.round("diff", 9))
-
-
-@query(f"WITH {SEEDS} SELECT arm, domain, count(bpb) AS n, CASE WHEN count(bpb) = 3 THEN round(stddev_samp(bpb), 9) END AS sigma, CASE WHEN count(bpb) = 3 THEN round(stddev_samp(round(bpb, 4)), 9) END AS sigma_rounded FROM m GROUP BY 1, 2")
-def seed_sigma(spark, d):
-    return stats.seed_spread(seed_metrics(spark), ["arm", "domain"], "bpb").select("arm", "domain", "n", F.round("sigma", 9).alias("sigma"), F.round("sigma_rounded", 9).alias("sigma_rounded"))
-
-
-@query(f"WITH {SEEDS}, a AS (SELECT arm, domain, count(*) AS n, avg(bpb) AS mean, stddev_samp(bpb) AS sd FROM m GROUP BY 1, 2) SELECT arm, domain, n, round(mean, 9) AS mean, round(sd, 9) AS sd, CASE WHEN n = 3 THEN round(mean - 4.302653 * sd / sqrt(n), 9) END AS ci_lo, CASE WHEN n = 3 THEN round(mean + 4.302653 * sd / sqrt(n), 9) END AS ci_hi FROM a")
-def seed_describe(spark, d):
-    return stats.describe(seed_metrics(spark), ["arm", "domain"], "bpb").select("arm", "domain", "n", *(F.round(c, 9).alias(c) for c in ("mean", "sd", "ci_lo", "ci_hi")))
-
-
-@query("SELECT *, CASE WHEN b > c THEN round((b - a) / (b - c), 9) END AS recovery FROM (VALUES (2.0::DOUBLE, 1.5::DOUBLE, 1.0::DOUBLE), (1.0::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE), (1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE)) t(b, a, c)")
-def recovery_rate(spark, d):
-    rows = spark.createDataFrame([(2.0, 1.5, 1.0), (1.0, 1.5, 2.0), (1.0, 1.0, 1.0)], "b double, a double, c double")
-    return rows.withColumn("recovery", F.round(verdicts.recovery(F.col("b"), F.col("a"), F.col("c")), 9))
-
-
-@query("SELECT d, s, CASE WHEN abs(d) / s <= 2 THEN 'indistinct' WHEN d > 0 THEN 'worse' ELSE 'better' END AS verdict, abs(d) / s > 4.9684 AS beyond, CASE WHEN d > greatest(2 * s, 0.005) THEN 'worse' WHEN d < -greatest(2 * s, 0.005) THEN 'better' ELSE 'indistinct' END AS floor FROM (VALUES (0.001::DOUBLE, 0.001::DOUBLE), (0.02::DOUBLE, 0.001::DOUBLE), (-0.004::DOUBLE, 0.001::DOUBLE)) t(d, s)")
-def sigma_rule(spark, d):
-    rows = spark.createDataFrame([(0.001, 0.001), (0.02, 0.001), (-0.004, 0.001)], "d double, s double")
-    v = verdicts.sigma_rule(F.col("d"), F.col("s"), F.col("s") / 2)
-    return rows.select("d", "s", v["verdict"].alias("verdict"), v["beyond"].alias("beyond"), verdicts.floor_rule(F.col("d"), F.col("s")).alias("floor"))
-
-
-@query("SELECT a, b, CASE WHEN a > 0 THEN round((a - b) / a, 9) END AS rho, CASE WHEN a > 0 THEN CASE WHEN (a - b) / a <= 0.25 THEN 'small' WHEN (a - b) / a <= 0.5 THEN 'middle' ELSE 'large' END END AS kind FROM (VALUES (1.0::DOUBLE, 0.9::DOUBLE), (1.0::DOUBLE, 0.6::DOUBLE), (1.0::DOUBLE, 0.1::DOUBLE), (0.0::DOUBLE, 1.0::DOUBLE)) t(a, b)")
-def rho_class(spark, d):
-    rows = spark.createDataFrame([(1.0, 0.9), (1.0, 0.6), (1.0, 0.1), (0.0, 1.0)], "a double, b double")
-    r = verdicts.rho(F.col("a"), F.col("b"))
-    return rows.select("a", "b", F.round(r, 9).alias("rho"), verdicts.rho_class(r).alias("kind"))
-
-
-@query("SELECT c, lo, hi, CASE WHEN c <= 0.25 THEN 'floor' WHEN lo >= -0.02 AND hi <= 0.02 THEN 'equivalent' WHEN hi < 0 THEN 'worse' WHEN lo > 0 THEN 'better' ELSE 'undecided' END AS verdict, lo > 0 AS confirmed FROM (VALUES (0.2::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE), (0.3::DOUBLE, -0.01::DOUBLE, 0.01::DOUBLE), (0.3::DOUBLE, -0.2::DOUBLE, -0.1::DOUBLE), (0.3::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE), (0.3::DOUBLE, -0.1::DOUBLE, 0.1::DOUBLE)) t(c, lo, hi)")
-def equivalence(spark, d):
-    rows = spark.createDataFrame([(0.2, 0.1, 0.2), (0.3, -0.01, 0.01), (0.3, -0.2, -0.1), (0.3, 0.1, 0.2), (0.3, -0.1, 0.1)], "c double, lo double, hi double")
-    return rows.select("c", "lo", "hi", verdicts.equivalence(F.col("c"), F.col("lo"), F.col("hi")).alias("verdict"), verdicts.confirmed(F.col("lo")).alias("confirmed"))
-
-
-@query("SELECT k, ratio, abs(ratio - 2.058) <= 0.05 AS inside FROM (VALUES (20000, 2.04::DOUBLE)) t(k, ratio)")
-def calibration_gate(spark, d):
-    return verdicts.calibration_gate(spark.createDataFrame([(10_000, 1.9), (20_000, 2.04), (40_000, 2.058)], "k int, ratio double"))
-
-
 @query(f"WITH {NLL} SELECT lang AS subject, count(*) AS n_items, CAST(sum(CAST(doc % 4 = doc % 3 AS INT)) AS BIGINT) AS n_correct, avg(CAST(doc % 4 = doc % 3 AS INT)) AS accuracy FROM n GROUP BY ROLLUP (lang)")
 def accuracy_rollup(spark, d):
     rows = doc_nll(spark, d).select(F.col("lang").alias("subject"), (F.col("doc") % 4).alias("gold"), (F.col("doc") % 3).alias("pred"))
@@ -213,44 +160,11 @@ def emb_permute_moves(spark, d):
     return embedding.moves(v, embedding.permute(v, v.select("id"))).select("n_moved", F.round("mean_move", 4).alias("mean_move"))
 
 
-@query("SELECT range AS tokens, range * 2 * 24 * 2 * 64 * 2 / 1048576.0::DOUBLE AS mb FROM range(1000, 5000, 1000)")
+@query("SELECT doc_id, length(text) * 2 * 24 * 2 * 64 * 2 / 1048576.0::DOUBLE AS mb FROM documents")
 def kv_cache(spark, d):
+    """As if a character were a token."""
     per = embedding.kv_bytes_per_token(F.lit(24), F.lit(2), F.lit(64))
-    return spark.range(1000, 5000, 1000).select(F.col("id").alias("tokens"), embedding.kv_cache_mb(F.col("id"), per).alias("mb"))
-
-
-RUNS = [("r1", "start", "2024-01-01T00:00:00Z"), ("r1", "ok", "2024-01-01T01:00:00Z"), ("r2", "start", "2024-01-01T00:00:00Z"), ("r3", "start", "2024-01-01T09:30:00Z"), ("r4", "start", "2024-01-01T00:00:00Z")]
-ACTIVITY = [("r4", "2024-01-01T09:40:00Z"), ("r2", "2024-01-01T02:00:00Z"), ("r9", "2024-01-01T02:00:00Z")]
-LEDGER = f"r AS (SELECT * FROM (VALUES {', '.join(map(str, RUNS))}) t(run_id, status, ts_utc)), a AS (SELECT * FROM (VALUES {', '.join(map(str, ACTIVITY))}) t(run_id, ts_utc))"
-
-
-def _runs(spark):
-    return spark.createDataFrame(RUNS, "run_id string, status string, ts_utc string"), spark.createDataFrame(ACTIVITY, "run_id string, ts_utc string")
-
-
-@query(f"WITH {LEDGER} SELECT run_id, ts_utc FROM a WHERE run_id NOT IN (SELECT run_id FROM r)")
-def ledger_orphans(spark, d):
-    runs, activity = _runs(spark)
-    return ledger.orphans(activity, runs, "run_id").select("run_id", "ts_utc")
-
-
-@query(f"WITH {LEDGER} SELECT r.run_id FROM r LEFT JOIN a USING (run_id) GROUP BY 1 HAVING count(*) FILTER (status <> 'start') = 0 AND greatest(max(r.ts_utc), coalesce(max(a.ts_utc), '')) < '2024-01-01T09:00:00Z'")
-def dead_runs(spark, d):
-    runs, activity = _runs(spark)
-    return ledger.dead_runs(runs, activity, "2024-01-01T10:00:00Z")
-
-
-@query(f"WITH {LEDGER}, n AS (SELECT *, row_number() OVER () AS line FROM r) SELECT run_id, status FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line) AS k FROM n) WHERE k > 1")
-def ledger_dups(spark, d):
-    rows = spark.createDataFrame([(*r, i) for i, r in enumerate(RUNS)], "run_id string, status string, ts_utc string, line int")
-    return ledger.duplicates(rows, ["run_id"]).select("run_id", "status")
-
-
-@query("SELECT * FROM (VALUES ('seed', '1', '2', 'allowed', 'different', false), ('lr', '0.1', NULL, 'critical', 'unrecorded', true), ('x', NULL, '3', 'unknown', 'unrecorded', true)) t(key, value_a, value_b, kind, status, blocks)")
-def config_diff(spark, d):
-    a = spark.createDataFrame([("seed", "1"), ("lr", "0.1"), ("same", "z")], "key string, value string")
-    b = spark.createDataFrame([("seed", "2"), ("x", "3"), ("same", "z")], "key string, value string")
-    return ledger.config_diff(a, b, ["run_id"], ["wall_sec"], ["seed"], ["lr"])
+    return table(spark, d, "documents").select("doc_id", embedding.kv_cache_mb(F.length("text").cast("bigint"), per).alias("mb"))
 
 
 @query("SELECT n.n_name AS nation, r.r_name AS region, count(*) AS n_customers, round(sum(CAST(o.o_totalprice AS DOUBLE)), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2")

@@ -134,43 +134,6 @@ def activation_rate(spark, d):
     return vocab.activation_rate(tokens(spark, d).filter("lang = 'en'").select(F.col("token").alias("token_id")), new)
 
 
-TOY = "v AS (SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 2), ('ab', 3), ('abc', 4), ('z', 5)) t(token, token_id)), m AS (SELECT * FROM (VALUES (0, 'a', 'b'), (1, 'ab', 'c')) t(rank, l, r))"
-
-
-def toy(spark):
-    """Six tokens and two merges."""
-    return spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("ab", 3), ("abc", 4), ("z", 5)], "token string, token_id int"), spark.createDataFrame([(0, "a", "b"), (1, "ab", "c")], "rank int, left string, right string")
-
-
-@query(f"WITH {TOY} SELECT token, token_id, token NOT IN (SELECT l FROM m UNION SELECT r FROM m) AS is_leaf FROM v")
-def vocab_leaves(spark, d):
-    return vocab.with_leaf(*toy(spark))
-
-
-@query(f"WITH {TOY} SELECT token, CAST(row_number() OVER (ORDER BY token_id) - 1 AS INTEGER) AS token_id FROM v WHERE token <> 'abc'")
-def surgery_drop(spark, d):
-    v, m = toy(spark)
-    return vocab.drop_tokens(v, m, spark.createDataFrame([("abc",)], "token string"))[0]
-
-
-@query("SELECT * FROM (VALUES (0, 'a', 'b'), (2, 'a', 'z')) t(rank, \"left\", \"right\")")
-def surgery_replace(spark, d):
-    v, m = toy(spark)
-    new = spark.createDataFrame([(1, "a", "z", "az")], "rank int, left string, right string, new_token string")
-    return vocab.replace_tokens(v, m, spark.createDataFrame([("abc",)], "token string"), new)[1]
-
-
-@query("SELECT 0 AS rank, 'right' AS part, 'b' AS token WHERE false UNION ALL SELECT 1, 'result', 'abc'")
-def broken_merges(spark, d):
-    v, m = toy(spark)
-    return vocab.broken_merges(v.filter("token <> 'abc'"), m)
-
-
-@query("SELECT * FROM (VALUES ('ko', -0.2, 'ok'), ('en', 0.07, 'report'), ('code', NULL, 'fail')) t(lang, change, level)".replace("-0.2,", "-0.2::DOUBLE,").replace("0.07", "0.07::DOUBLE"))
-def candidate_gate(spark, d):
-    return vocab.gate(spark.createDataFrame([("ko", -0.2), ("en", 0.07)], "lang string, change double"))
-
-
 @query(f"WITH {TOKENS}, x AS (SELECT DISTINCT token FROM t) SELECT CAST(least(length(token), 5) AS BIGINT) AS length, count(*) AS n, count(*) FILTER (token LIKE '%e%') AS n_removed FROM x WHERE token LIKE 't%' GROUP BY 1")
 def vocab_census(spark, d):
     rows = word_vocab(spark, d).select(F.col("token").alias("surface"), F.col("token").startswith("t").alias("has_han"), F.col("token").contains("e").alias("removed"))
