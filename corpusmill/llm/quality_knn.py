@@ -82,6 +82,16 @@ def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([some, KINDS**3 + own]), np.concatenate([total[some], events[own]]).astype(float)
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest values of each row; of equal ones at the edge the first."""
+    edge = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+    above, level = cos > edge, cos == edge
+    open_ = k - above.sum(1)
+    more = np.flatnonzero(level.sum(1) > open_)  # rows where not all that are level fit
+    level[more] &= np.cumsum(level[more], axis=1) <= open_[more, None]
+    return np.nonzero(above | level)[1].reshape(len(cos), k)
+
+
 @dataclass(frozen=True)
 class Model:
     """Weighted projection of terms, unit labelled vectors, their labels."""
@@ -107,7 +117,7 @@ class Model:
         v = self.project(bags)
         cos = v @ self.vectors.T
         k = min(self.neighbours, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        near = nearest(cos, k)
         w = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(float) ** self.power
         total = w.sum(1)
         votes = (w * self.labels[near]).sum(1)

@@ -137,6 +137,160 @@ def test_classifiers_hold_out(spark):
         assert module.score(docs, module.fit(docs, labels.limit(0), F.lit(True))).count() == 255
 
 
+def folder(spark, tmp_path):
+    docs, labels = labelled(spark)
+    d = str(tmp_path / "tables")
+    docs.write.parquet(f"{d}/documents.parquet")
+    labels.write.parquet(f"{d}/labels.parquet")
+    return d, {r.doc_id: r.text for r in docs.collect()}
+
+
+def python_features(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = max(1, len(w))
+    windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    hit = {j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    letters = sum(map(len, w))
+    capitals = sum(len(m) for m in re.findall(r"[A-ZÀ-ÖØ-Þ]{2,}", text or ""))
+    return {"symbols": len(re.findall(r"[#*$%&|<>]", text or "")) / n, "cries": (text or "").count("!") / n, "capitals": capitals / max(1, letters), "repeats": len(hit) / n, "repeat_words": float(len(hit)), "line_copies": (len(lines) - len(set(lines))) / max(1, len(lines)), "distinct": len(set(w)) / n, "word_length": letters / n, "variety": len(set(w)) / n**0.5}, len(w), len(hit)
+
+
+def test_op2_verdicts_against_python(spark, tmp_path):
+    d, texts = folder(spark, tmp_path)
+    rules = quality_rules.fit(common.table(spark, d, "documents"), common.table(spark, d, "labels"), common.fold("doc_id", 5) != 0)
+    rows = quality_rules.op2_quality_rules(spark, d)
+    assert rows.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert rules and rows.count() == len(texts)
+    for r in rows.collect():
+        x, n, hit = python_features(texts[r.doc_id])
+        if set(x) & {c.feature for rule in rules for c in rule if c.feature == "capitals"} and re.search(r"[^\x00-\xff]", texts[r.doc_id] or ""):
+            continue  # capitals beyond Latin-1 are not in the plain pattern
+        covered = any(all(x[c.feature] >= c.threshold if c.above else x[c.feature] < c.threshold for c in rule) for rule in rules)
+        failed = n < 20 or 100 * hit > 30 * n
+        assert (r.base_failed, r.kept) == (failed, not failed and not covered), r.doc_id
+
+
+def test_fit_is_bounded_and_conflicts_go(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 9}") for i in range(3000)] + [(i, "x y") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 1), (3, 0), (3, 1), (4, 0), (5, None), (None, 1)], "doc_id long, quality int")
+    got = sorted((r.label, r.text) for r in common.labelled_texts(docs, labels, "quality", F.lit(True), 5).collect())
+    assert got == [(0, "x y"), (1, "text 0")]
+
+
+def test_op2_replaces_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one two", 9, "k", [1])], "doc_id long, text string, n_words int, Kept string, __lines array<int>")
+    got = quality_rules.judge(df, []).first()
+    assert (got.n_words, got.kept, got.base_failed) == (2, False, True)
+
+
+def test_op6_votes_against_python(spark, tmp_path):
+    d, texts = folder(spark, tmp_path)
+    train = common.fold("doc_id", 5) != 0
+    m = quality_knn.fit(common.table(spark, d, "documents"), common.table(spark, d, "labels"), train)
+    rows = quality_knn.op6_quality_knn(spark, d)
+    assert rows.columns == ["doc_id", "held_out", "score", "predicted"] and rows.count() == len(texts)
+    assert len(m.labels) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(240))
+    for r in rows.collect():
+        bag = quality_knn.terms((texts[r.doc_id] or "").encode())
+        v = m.project([bag])[0].astype(float)
+        cos = [sum(a * b for a, b in zip(v.tolist(), u, strict=True)) for u in m.vectors.astype(float).tolist()]
+        near = sorted(range(len(cos)), key=lambda i: (-cos[i], i))[: m.neighbours]
+        w = [max(0.0, cos[i]) ** m.power for i in near]
+        want = sum(x * m.labels[i] for x, i in zip(w, near, strict=True)) / sum(w) if sum(w) > 1e-9 else m.labels.mean()
+        level = sum(abs(c - cos[near[-1]]) < 1e-6 for c in cos) > 1  # neighbours that rounding can swap
+        assert abs(r.score - want) < 1e-4 or level, r.doc_id
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+
+
+def test_nearest_takes_the_first_of_equals():
+    rng = np.random.default_rng(3)
+    cos = rng.integers(0, 4, (50, 30)) / 4.0
+    for k in (1, 7, 30):
+        want = [sorted(sorted(range(30), key=lambda i: (-row[i], i))[:k]) for row in cos]
+        assert quality_knn.nearest(cos, k).tolist() == want
+
+
+def test_op10_scores_against_python(spark, tmp_path):
+    d, texts = folder(spark, tmp_path)
+    m = toxicity.fit(common.table(spark, d, "documents"), common.table(spark, d, "labels"), common.fold("doc_id", 3) != 1)
+    weight = dict(zip(m.grams.tolist(), m.weights.tolist(), strict=True))
+
+    def number(g):
+        h = 0
+        for k, c in enumerate(map(ord, g)):
+            h = c * 0x9E3779B1 % 2**32 if not k else (h * 0x01000193 + c) % 2**32
+        h ^= len(g) * 0x3C6EF372 % 2**32
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D % 2**32
+        h ^= h >> 12
+        return (h * 0x297A2D39 % 2**32) >> (32 - toxicity.BITS)
+
+    rows = toxicity.op10_toxicity(spark, d)
+    assert rows.columns == ["doc_id", "held_out", "score", "predicted"] and rows.count() == len(texts)
+    for r in rows.collect():
+        t = f" {(texts[r.doc_id] or '').lower()} "
+        if len(t) > 5000:
+            continue
+        own = {number(t[i : i + n]) for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+        z = m.bias + sum(weight.get(g, 0.0) for g in own)
+        assert abs(r.score - 1 / (1 + np.exp(-min(40, max(-40, z))))) < 1e-9, r.doc_id
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+
+
+def test_logistic_against_plain_descent():
+    rng = np.random.default_rng(4)
+    dense = rng.random((60, 6)) < 0.4
+    y = (rng.random(60) < 1 / (1 + np.exp(-(dense @ np.array([2.0, -1, 0.5, 0, 0, 1]) - 1)))).astype(float)
+    scale = np.array([1.0, -0.5, 2.0, 0.3, 1.0, 0.7])
+    w, bias = toxicity.logistic([np.flatnonzero(r).astype(np.uint16) for r in dense], y, scale, 4000, 1.0)
+    x = dense * scale
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    v, c = np.zeros(6), 0.0
+    for _ in range(40_000):
+        err = weight * (1 / (1 + np.exp(-(x @ v + c))) - y)
+        v, c = v - 0.3 * (x.T @ err + v / 60), c - 0.3 * err.sum()
+    assert np.allclose(w, v, atol=1e-3) and abs(bias - c) < 1e-3
+
+
+def test_op7_text_against_labels(spark, tmp_path):
+    """Whole texts of generated pages, through the query: what the labels of their elements say."""
+    made = html_pages.pages(80, seed=123)
+    rows, want = [], {}
+    for i, page in enumerate(made):
+        nodes, y = html_extract.labelled(page)
+        runs = sorted(r for n, v in zip(nodes, y, strict=True) if v and not n.silent for r in n.runs)
+        want[i] = "\n".join(t for _, t, _ in runs)
+        rows.append((i, f"http://h/{i}", page))
+    spark.createDataFrame([*rows, (900, None, None), (901, "u", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = html_extract.op7_html_extract(spark, str(tmp_path))
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == 82
+    got = {r.page_id: r for r in out.collect()}
+    assert all(r.n_chars == len(r.text) for r in got.values()) and got[900].text == got[901].text == ""
+    words = lambda t: collections.Counter(t.split())
+    hit = sum((words(want[i]) & words(got[i].text)).total() for i in want)
+    assert hit >= 0.97 * sum(len(want[i].split()) for i in want) and hit >= 0.97 * sum(len(got[i].text.split()) for i in want)
+    assert sum(got[i].text == want[i] for i in want) >= 0.8 * len(want)
+
+
+def test_op9_columns(spark, tmp_path):
+    table(spark).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = packing.op9_packing(spark, str(tmp_path))
+    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    by = collections.defaultdict(list)
+    for r in rows.collect():
+        by[r.sequence_id].append((r.offset, r.length))
+    for own in by.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+
+
+def test_op3_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a/", "<p>x</p>"), (1, "http://a/", "<p>x</p>"), (None, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = warc.op3_warc(spark, str(tmp_path))
+    assert rows.columns == ["record_id", "warc_type", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest"]
+    assert rows.count() == 6 and rows.select("record_id").distinct().count() == 6
+
+
 def test_fold(spark):
     got = {r.doc_id: r.f for r in spark.createDataFrame([(5,), (None,)], "doc_id long").select("doc_id", common.fold("doc_id", 3).alias("f")).collect()}
     assert got == {5: zlib.crc32(b"5") % 3, None: 0}

@@ -39,3 +39,20 @@ def test_stages(spark, tmp_path):
     assert seen["neardup"] >= clean and not seen["neardup"] & {1000, 1001}
     assert seen["decontaminate"] >= clean and 1002 not in seen["decontaminate"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).select("doc_id").distinct().collect()} == seen["decontaminate"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables and repeated ids: each stage gives what its docstring says."""
+    d = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
+    rows = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (2, "a b c d e f g", "fr", "s", 1), (3, None, None, None, None), (None, "x", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    left = [5, 5, 3, 3]
+    for (name, stage), n in zip(corpus_pipeline.STAGES, left, strict=False):
+        docs = common.cut(stage(spark, docs, d))
+        assert docs.count() == n, name
+    assert sorted(docs.select("doc_id").collect(), key=str) == [(1,), (3,), (None,)]
