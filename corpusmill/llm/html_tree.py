@@ -36,6 +36,8 @@ SCOPE = frozenset("table td th caption button object ul ol dl html body".split()
 #: An element of the key begins inside open elements of the values, which end.
 ENDED_BY = {new: [old for old, begins in ENDS.items() if new in begins] for new in set().union(*ENDS.values())}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: A tag whose quotes close and hold neither < nor >; it ends or fails at the next of them.
+PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
 STOP = re.compile(r"""[>"']""")
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HREF = re.compile(r"""(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -103,7 +105,9 @@ class Tags:
         page, at = self.page, 0
         while (s := self.find("<", at)) >= 0:
             at = s + 1
-            if m := TAG.match(page, s):
+            if m := PLAIN.match(page, s):
+                at = (yield s, m.end(), m[2].lower(), bool(m[1]), m[3]) or m.end()
+            elif m := TAG.match(page, s):
                 e = self.end(m.end())
                 if e >= 0:
                     at = (yield s, e + 1, m[2].lower(), bool(m[1]), page[m.end() : e]) or e + 1
@@ -159,8 +163,15 @@ class Open:
             self.cut(at)
 
 
-def parse(page: str) -> list[Node]:
-    """Nodes in page order; a parent comes before its children."""
+def href(attributes: str) -> str | None:
+    """The address that an anchor's attributes hold, with character references decoded."""
+    if "href" not in attributes.lower() or not (m := HREF.search(attributes)):
+        return None
+    return html.unescape(m[1] if m[1] is not None else m[2] if m[2] is not None else m[3]).strip()
+
+
+def parse(page: str, links: list[str] | None = None) -> list[Node]:
+    """Nodes in page order; a parent comes before its children. ``links`` gets the addresses of all anchors."""
     nodes = [Node("#root", -1)]
     here = Open()
     pending: list[str] = []
@@ -199,6 +210,8 @@ def parse(page: str) -> list[Node]:
         if tag not in BLOCKS:
             if tag == "a":
                 in_link = not closing
+                if links is not None and in_link and (found := href(attributes)) is not None:
+                    links.append(found)
             elif tag == "br":
                 say(" ")
             continue
@@ -224,15 +237,13 @@ def parse(page: str) -> list[Node]:
 
 
 def links(page: str) -> list[str]:
-    """The href of every anchor, with character references decoded."""
-    out = []
-    for _, _, tag, closing, attributes in Tags(page):
-        if tag == "a" and not closing and (m := HREF.search(attributes)):
-            out.append(html.unescape(m[1] if m[1] is not None else m[2] if m[2] is not None else m[3]).strip())
+    """The addresses of all anchors outside scripts, styles and the like."""
+    out: list[str] = []
+    parse(page, out)
     return out
 
 
-def visible_text(page: str) -> str:
-    """All blocks of text in page order, one a line."""
-    runs = [r for n in parse(page) if not n.silent for r in n.runs]
+def visible_text(page: str, links: list[str] | None = None) -> str:
+    """All blocks of text in page order, one a line. ``links`` gets the addresses of all anchors."""
+    runs = [r for n in parse(page, links) if not n.silent for r in n.runs]
     return "\n".join(t for _, t, _ in sorted(runs))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .html_tree import links, visible_text
+from .html_tree import visible_text
 
 #: Name space of record ids.
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -125,11 +125,12 @@ def derive(source: dict) -> list[dict]:
     """The metadata and the conversion record of a response."""
     head, _, body = source["block"].partition(END)
     page = page_text(head.decode("latin-1"), body)
-    text = visible_text(page).encode("utf-8", "surrogatepass")
+    links: list[str] = []
+    text = visible_text(page, links).encode("utf-8", "surrogatepass")
     shared = {"refers_to": source["record_id"], "target_uri": source["target_uri"], "date": source["date"], "http_headers": source["http_headers"]}
     conversion = {"warc_type": "conversion", "record_id": record_id("conversion", source["record_id"]), "content_type": "text/plain; charset=utf-8", "block": text, "block_digest": sha1(text), "payload_digest": source["payload_digest"], **shared}
     fields = [("source-block-digest", source["block_digest"]), ("source-payload-digest", source["payload_digest"]), ("source-length", str(len(body))), ("conversion-record", conversion["record_id"]), ("text-length", str(len(text)))]
-    fields += [("source-header", x) for x in head.decode("latin-1").split("\r\n")] + [("outlink", x) for x in links(page)]
+    fields += [("source-header", x) for x in head.decode("latin-1").split("\r\n")] + [("outlink", x) for x in links]
     block = "".join(f"{k}: {_line(v or '')}\r\n" for k, v in fields).encode("utf-8", "surrogatepass")
     metadata = {"warc_type": "metadata", "record_id": record_id("metadata", source["record_id"]), "content_type": "application/warc-fields", "block": block, "block_digest": sha1(block), "payload_digest": source["payload_digest"], **shared}
     return [metadata, conversion]
