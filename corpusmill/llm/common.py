@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import scratch
 from ..scratch import release
 
-__all__ = ["cut", "fold", "labelled_sample", "labelled_texts", "prepare", "raw_texts", "release", "table", "texts", "with_columns"]
+__all__ = ["cut", "fold", "labelled_sample", "labelled_texts", "let", "prepare", "raw_texts", "release", "table", "texts", "with_columns"]
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 256
@@ -41,6 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
     return scratch.cut(df)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fold(doc_id: str, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus

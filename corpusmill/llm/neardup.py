@@ -49,6 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dedup import components
 from . import common
 from .tokens import _Kept
 
@@ -295,23 +296,6 @@ def rooted(edges: DataFrame) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id that can be reached, for each id on an edge."""
-    both = common.cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = common.cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp"), F.lit(True).alias("changed")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("comp", "m").alias("low"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("id").alias("low"), F.col("comp").alias("lower"))
-        new = common.cut(step.join(jump, "low").select("id", F.least("low", "lower").alias("comp"), (F.col("old") != F.least("low", "lower")).alias("changed")))
-        changed = not new.filter("changed").isEmpty()
-        common.release(labels)
-        labels = new
-        if not changed:
-            common.release(both)
-            return labels.drop("changed")
-
-
 def open_bands(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, n, comp, most, c, others, bytes) of the bands that hold several components.
 
@@ -487,12 +471,12 @@ def linked(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, t
         for end in ("a", "b"):
             same = same.join(labels.toDF(end, "comp"), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
         more = more.unionByName(same.filter("a != b"))
-    joined = components(cut(more.distinct()))
+    joined = components(cut(more.distinct())).withColumnRenamed("component", "comp")
     nodes = labels.unionByName(joined.select("id", F.col("id").alias("comp"))).distinct()
     nodes = cut(nodes.join(joined.toDF("comp", "upper"), "comp", "left").select("id", F.coalesce("upper", "comp").alias("comp")))
     least = cut(nodes.groupBy("comp").agg(F.min("id").alias("component")))
     out = common.cut(nodes.join(least, "comp").select("id", "component"))
-    common.release(*spare, shared, labels, rest, joined)
+    common.release(*spare, shared, labels, rest)
     return out
 
 

@@ -1,9 +1,9 @@
 """Quality: similarity-weighted votes of labelled neighbours in a latent space.
 
-A text is a bag of surface terms: trigrams of character kinds (lower, upper,
-digit, blank, one kind for each common mark, other) and events of repetition
-(a word equal to the one before, a line seen before, the share of words seen
-before). Logarithmic counts, weighted by inverse document frequency, of a
+A text is a bag of terms: its lower-case words (hashed to WORDS buckets), trigrams
+of character kinds (lower, upper, digit, blank, one kind for each common mark,
+other) and events of repetition (a word equal to the one before, a line seen
+before, the share of words seen before). Logarithmic counts, weighted by inverse document frequency, of a
 bounded labelled sample are factored by a truncated singular value
 decomposition; the labelled vectors in that latent space are broadcast. Every
 document is projected, its cosines with all labelled vectors are computed
@@ -21,6 +21,7 @@ An id with both labels is not in the sample; of a repeated id the least text is.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,10 @@ THRESHOLD = 0.3
 KINDS = 24
 MARKS = b".,!?#*$%&|<>:;-\"'()[]{}"
 EVENTS = 24
-TERMS = KINDS**3 + EVENTS
+#: Buckets that lower-case words are hashed to, and the weight of their counts.
+WORDS = 4096
+WORD_WEIGHT = 0.3
+TERMS = KINDS**3 + EVENTS + WORDS
 STRETCH = 1 << 20
 
 
@@ -79,7 +83,9 @@ def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     events[19 + min(4, len(words) // 25 if len(words) < 100 else 4)] = 1
     some = np.flatnonzero(total)
     own = np.flatnonzero(events)
-    return np.concatenate([some, KINDS**3 + own]), np.concatenate([total[some], events[own]]).astype(float)
+    lower = text.lower().split()
+    place, times = np.unique(np.fromiter(map(zlib.crc32, lower), np.int64, len(lower)) % WORDS, return_counts=True)
+    return np.concatenate([some, KINDS**3 + own, KINDS**3 + EVENTS + place]), np.concatenate([total[some], events[own], times]).astype(float)
 
 
 def nearest(cos: np.ndarray, k: int) -> np.ndarray:
@@ -143,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "quali
     used = np.flatnonzero(found)
     idf = np.zeros(TERMS, np.float32)
     idf[used] = 1 + np.log(len(own) / found[used])
+    idf[KINDS**3 + EVENTS :] *= WORD_WEIGHT
     place = np.zeros(TERMS, np.int64)
     place[used] = np.arange(len(used))
     x = np.zeros((len(own), len(used)), np.float32)

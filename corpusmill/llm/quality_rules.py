@@ -32,18 +32,13 @@ _SPACE = "[ \\t-\\r]+"
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS))
 
 
 def word_list(text: Column) -> Column:
     """Runs of characters that aren't blanks."""
-    return _let(_trimmed(text), lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, _SPACE)))
+    return common.let(_trimmed(text), lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, _SPACE)))
 
 
 def repeated_words(words: Column) -> Column:
@@ -53,12 +48,12 @@ def repeated_words(words: Column) -> Column:
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         again = lambda s: F.filter(s, lambda e, k: ((k > 0) & (s[k - 1]["h"] == e["h"])) | ((k < F.size(s) - 1) & (s[k + 1]["h"] == e["h"])))
-        starts = _let(pairs, lambda s: F.sort_array(F.transform(again(s), lambda e: e["i"])))
+        starts = common.let(pairs, lambda s: F.sort_array(F.transform(again(s), lambda e: e["i"])))
         zero = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("total"))
         return F.aggregate(starts, zero, lambda a, x: F.struct(x.alias("last"), (a["total"] + F.least(F.lit(WINDOW), x - a["last"])).alias("total")))["total"]
 
     hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    some = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+    some = common.let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
     return F.when(n > WINDOW, some).otherwise(F.lit(0)).cast("bigint")
 
 
@@ -79,8 +74,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.size("__words").cast("bigint").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
         without("[#*$%&|<>]+").cast("bigint").alias("n_symbols"),
-        _let(lines, both).alias("__lines"),
-        _let(F.col("__words"), repeated_words).alias("n_repeat_words"),
+        common.let(lines, both).alias("__lines"),
+        common.let(F.col("__words"), repeated_words).alias("n_repeat_words"),
         F.size(F.array_distinct("__words")).alias("__distinct"),
         without("!+").alias("__cries"),
         without("\\p{Lu}{2,}").alias("__capitals"),

@@ -34,11 +34,6 @@ _MASK = (1 << _LIMB) - 1
 _FEW = 12
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _next(key: Column) -> Column:
     """key * MULTIPLIER + 1 modulo 2**64, on signed longs."""
     c = [MULTIPLIER >> (_LIMB * i) & _MASK for i in range(3)]
@@ -60,7 +55,7 @@ def jump_shard(key: Column, shards: int) -> Column:
     start = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("j"), key.cast("long").alias("key"))
 
     def step(s: Column, _) -> Column:
-        moved = _let(
+        moved = common.let(
             _next(s["key"]),
             lambda k: F.struct(
                 s["j"].alias("b"),
@@ -74,7 +69,7 @@ def jump_shard(key: Column, shards: int) -> Column:
     if shards <= _FEW:
         return first["b"].cast("int")
     rest = lambda s: F.when(s["j"] >= shards, s["b"]).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(shards - _FEW)), s, step)["b"])
-    return _let(first, rest).cast("int")
+    return common.let(first, rest).cast("int")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", range_rows: int = RANGE_ROWS) -> DataFrame:

@@ -14,6 +14,8 @@ import types
 
 import numpy as np
 
+from ..functions.text import byte_alphabet
+
 #: Stretches in one generation of a worker's cache; there are two.
 ENTRIES = 300_000
 #: Longer stretches aren't kept.
@@ -28,12 +30,6 @@ LOWER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 LETTERS = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
-def byte_characters() -> dict[int, str]:
-    """The character that byte-level vocabularies write for each byte."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
-
-
 def load(name: str):
     """The library's tokenizer for a vocabulary file of the given name."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,7 +86,7 @@ class WordIds:
 
     def __init__(self, name: str):
         self.tokenizer = load(name)
-        self.model, self.table = self.tokenizer.model, byte_characters()
+        self.model, self.table = self.tokenizer.model, byte_alphabet()
         self.parts = _Kept(self.encoded)
         self.kept = _Kept(self.split)
 
@@ -120,7 +116,7 @@ class ByteCounts:
 
     def __init__(self, name: str):
         self.tokenizer = load(name)
-        self.model, self.table = self.tokenizer.model, byte_characters()
+        self.model, self.table = self.tokenizer.model, byte_alphabet()
         self.parts = _Kept(self.piece)
         self.kept = _Kept(self.split)
 

@@ -596,6 +596,14 @@ def test_neardup_one_id_several_texts(spark):
     assert sorted((r.doc_id, r.text) for r in neardup.drop_copies(df.unionByName(df), 2).collect()) == [(1, "h i j"), (3, "a b c d"), (7, None), (8, None)]
 
 
+def test_op8_columns(spark, tmp_path):
+    table(spark).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = neardup.op8_neardup(spark, str(tmp_path))
+    assert rows.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    want = brute_components(list(enumerate(ODD)), 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows.collect()} == {i: (n, c, i == c) for i, (n, c) in want.items()}
+
+
 def test_neardup_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.link(df, 2).collect()), key=str)
