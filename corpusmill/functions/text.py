@@ -26,6 +26,11 @@ BLANK = r"[ \t\n\x{2028}\x{2029}]"
 CLASSES = {"hangul": HANGUL, "latin": LATIN, "hanja": HANJA, "kana": KANA, "digit": DIGIT}
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _normal(form: str):
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:

@@ -29,7 +29,8 @@ def ranged(df: DataFrame, order: str, width: int = RANGE) -> DataFrame:
     step = max(1, -(-span * width // ends["n"]))
     if step < 1 << 62:
         rows = df.withColumn("__r", F.floor((F.col(order).cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(step).cast("decimal(20,0)")).cast("bigint") if span >= 1 << 53 else F.floor((F.col(order) - lo) / step).cast("bigint"))
-        if rows.groupBy("__r").count().agg(F.max("count")).first()[0] <= 16 * width:
+        # Ids are unique, so a range holds ``step`` rows at most.
+        if step <= 16 * width or rows.groupBy("__r").count().agg(F.max("count")).first()[0] <= 16 * width:
             return rows
     return global_rank(df, [F.col(order)], "__place", width).withColumn("__r", F.floor(F.col("__place") / width)).drop("__place")
 

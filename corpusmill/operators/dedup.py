@@ -52,8 +52,6 @@ def host_stats(docs: DataFrame, host: str, cap: int) -> DataFrame:
 
 SHINGLE, BOTTOM, PERMUTATIONS, BANDS, THRESHOLD, SEED = 8, 512, 64, 16, 0.80, 42
 PRIME = np.uint64((1 << 61) - 1)
-#: Shingles whose hashes a task keeps.
-KNOWN = 400_000
 
 
 def shingles(text: str, size: int = SHINGLE) -> set[str]:
@@ -62,15 +60,10 @@ def shingles(text: str, size: int = SHINGLE) -> set[str]:
     return {t[i : i + size] for i in range(len(t) - size + 1)}
 
 
-def shingle_hashes(text: str, size: int = SHINGLE, bottom: int = BOTTOM, known: dict[str, bytes] | None = None) -> np.ndarray:
-    """The smallest 32-bit BLAKE2b hashes of the distinct character shingles. ``known``: hashes met before, a bounded table of the task."""
-    own, known = shingles(text, size), {} if known is None else known
-    new, make = own.difference(known), hashlib.blake2b
-    if len(known) + len(new) > KNOWN:
-        known.clear()
-        new = own
-    known.update((s, make(s.encode(), digest_size=4).digest()) for s in new)
-    found = np.unique(np.frombuffer(b"".join(map(known.__getitem__, own)), ">u4"))
+def shingle_hashes(text: str, size: int = SHINGLE, bottom: int = BOTTOM) -> np.ndarray:
+    """The smallest 32-bit BLAKE2b hashes of the distinct character shingles."""
+    make = hashlib.blake2b
+    found = np.unique(np.frombuffer(b"".join([make(s.encode(), digest_size=4).digest() for s in shingles(text, size)]), ">u4"))
     return found[:bottom].astype(np.uint64)
 
 
@@ -87,10 +80,9 @@ def minhash_udf(n: int = PERMUTATIONS, seed: int = SEED):
     @F.pandas_udf("array<bigint>")
     def f(s: pd.Series) -> pd.Series:
         a, b = permutations(n, seed)
-        known: dict[str, bytes] = {}
 
         def one(text):
-            h = shingle_hashes(text or "", known=known)
+            h = shingle_hashes(text or "")
             with np.errstate(over="ignore"):
                 v = (a[:, None] * h[None, :] + b[:, None]) % PRIME
             return (v.min(axis=1) & np.uint64(0xFFFFFFFF)).astype(np.int64)

@@ -44,32 +44,50 @@ def profile(language: str) -> Profile:
     return PROFILES[language]
 
 
-def reasons(own: Profile, text: Column, lines: Column, squeezed: Column, score: Column | None) -> list[tuple[str, Column]]:
-    """Reasons with their conditions, cheap ones first: the first that holds is the verdict."""
-    out = [("too_short", F.length(text) < own.min_chars), ("too_long", F.length(text) > own.max_chars)]
+def first_reason(tests: list[tuple[str, Column]], rest: Column | None = None) -> Column:
+    """The name of the first condition that holds, else ``rest`` (null by default)."""
+    case = F.when(tests[0][1], F.lit(tests[0][0]))
+    for name, condition in tests[1:]:
+        case = case.when(condition, F.lit(name))
+    return case if rest is None else case.otherwise(rest)
+
+
+def reason(own: Profile, text: Column, score: Column | None = None) -> Column:
+    """The first reason to reject, cheap ones first; null if there is none.
+
+    Lines and the squeezed text are bound where they are first needed, so that
+    they are computed once, and not at all for texts that fail before.
+    """
+    cheap = [("too_short", F.length(text) < own.min_chars), ("too_long", F.length(text) > own.max_chars)]
     if score is not None:
-        out.append(("low_language_score", score < own.min_language_score))
-    out.append(("low_hangul", T.ratio(text, T.HANGUL) < own.min_hangul))
+        cheap.append(("low_language_score", score < own.min_language_score))
+    cheap.append(("low_hangul", T.ratio(text, T.HANGUL) < own.min_hangul))
     if own.min_latin > 0:
-        out += [("low_latin", T.ratio(text, T.LATIN) < own.min_latin), ("korean_in_english", T.ratio(text, T.HANGUL) > MAX_KOREAN_IN_ENGLISH)]
-    out += [("digit_heavy", T.ratio(text, T.DIGIT) > own.max_digit), ("short_lines", T.mean_line_chars(lines) < own.min_mean_line)]
-    if own.check_lines:
-        out.append(("repeated_lines", T.line_repeat_ratio(lines) > own.max_line_repeat))
-    if own.check_ngrams:
-        out.append(("repeated_ngram", T.distinct_ngram_ratio(squeezed, own.ngram) < own.min_distinct_ngram))
-    return out
+        cheap += [("low_latin", T.ratio(text, T.LATIN) < own.min_latin), ("korean_in_english", T.ratio(text, T.HANGUL) > MAX_KOREAN_IN_ENGLISH)]
+    cheap.append(("digit_heavy", T.ratio(text, T.DIGIT) > own.max_digit))
+    ngrams = T.bound(T.squeezed(text), lambda s: F.when(T.distinct_ngram_ratio(s, own.ngram) < own.min_distinct_ngram, F.lit("repeated_ngram"))) if own.check_ngrams else None
+
+    def by_lines(lines: Column) -> Column:
+        tests = [("short_lines", T.mean_line_chars(lines) < own.min_mean_line)]
+        if own.check_lines:
+            tests.append(("repeated_lines", T.line_repeat_ratio(lines) > own.max_line_repeat))
+        return first_reason(tests, ngrams)
+
+    return first_reason(cheap, T.bound(T.lines(text), by_lines))
 
 
 def check(docs: DataFrame, language: str, text: str = "text", score: str | None = None) -> DataFrame:
-    """``docs`` with ``reject_reason``: null for documents that pass.
+    """``docs`` with ``reject_reason``: null for documents that pass."""
+    return docs.withColumn("reject_reason", reason(profile(language), F.col(text), F.col(score) if score else None))
+
+
+def passing(checked: DataFrame) -> DataFrame:
+    """Rows of ``check`` without a reason.
 
-    One CASE keeps the order and evaluates costly conditions last.
+    The test stays where it stands: a deterministic filter would be moved below
+    joins and exchanges, where there are more rows or fewer tasks.
     """
-    rows = docs.withColumn("__lines", T.lines(F.col(text))).withColumn("__squeezed", T.squeezed(F.col(text)))
-    case = None
-    for name, condition in reasons(profile(language), F.col(text), F.col("__lines"), F.col("__squeezed"), F.col(score) if score else None):
-        case = F.when(condition, F.lit(name)) if case is None else case.when(condition, F.lit(name))
-    return rows.withColumn("reject_reason", case).drop("__lines", "__squeezed")
+    return checked.filter(F.when(F.monotonically_increasing_id() >= 0, F.col("reject_reason").isNull()))
 
 
 def reason_stats(checked: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def corpus_summary(spark, d):
 
     Equal texts have equal verdicts, so each text is judged once, after its copies went.
     """
-    kept = quality.check(dedup.exact_dedup(documents(spark, d)), "en").filter("reject_reason is null")
+    kept = quality.passing(quality.check(dedup.exact_dedup(documents(spark, d)), "en"))
     rows = kept.withColumn("split", dedup.hash_split_sha256(F.col("doc_id")))
     return sinks.summary(rows.select("split", F.col("lang").alias("domain"), F.length("text").alias("char_count"), F.octet_length("text").alias("byte_count")))
 
@@ -106,7 +106,7 @@ def exact_dup_groups(spark, d):
 
 @query(f"WITH {CHECKED} SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM checked WHERE reject_reason IS NULL) WHERE k <= 20 OR source = ''")
 def host_cap(spark, d):
-    kept = quality.check(documents(spark, d), "en").filter("reject_reason is null")
+    kept = quality.passing(quality.check(documents(spark, d), "en"))
     return dedup.host_cap(kept, "source", "ord", 20).select("doc_id", "source")
 
 
