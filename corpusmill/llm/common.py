@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from .. import scratch
 from ..scratch import release
+from ..spread import spread
 
 __all__ = ["cut", "fold", "labelled_sample", "labelled_texts", "let", "prepare", "raw_texts", "release", "table", "texts", "with_columns"]
 
@@ -25,8 +26,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a data folder; only Spark opens the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a data folder; only Spark opens the path. The tables of texts are dealt over all cores if they are small."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def prepare(spark: SparkSession) -> None:
