@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,15 @@ from .. import schemas
 from ..operators import budget
 
 
+def spacing(total: int, max_docs: int, shards: int, per_group: int = 1000) -> tuple[int, int]:
+    """How many of ``total`` row groups hold one shard's part of ``max_docs``, and how far apart they are."""
+    want = math.ceil(math.ceil(max_docs / per_group) / shards)
+    return want, max(1, total // want) if want else 1
+
+
 def stride(total: int, max_docs: int, shards: int, per_group: int = 1000) -> list[int]:
     """Numbers of the evenly spaced row groups of one shard that hold its part of ``max_docs``."""
-    want = math.ceil(math.ceil(max_docs / per_group) / shards)
-    step = max(1, total // want) if want else 1
+    want, step = spacing(total, max_docs, shards, per_group)
     return list(range(0, total, step))[:want]
 
 
@@ -47,23 +53,39 @@ def read_documents(spark: SparkSession, paths: list[str], columns: list[str], te
     return df.select(*own, meta["file_path"].alias("_source_path"), F.concat(meta["file_path"], F.lit("#"), meta["row_index"].cast("string")).alias("_fallback_id")).filter(F.col(text).isNotNull() if text in own else F.lit(True))
 
 
-def strided(spark: SparkSession, path: str, columns: list[str], max_docs: int, shards: int = 1, per_group: int = 1000, max_bytes: int | None = None, text: str = "text") -> DataFrame:
-    """Rows in evenly spaced stretches of ``per_group`` rows of a Parquet file.
+def numbered(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """The wanted columns of a table as it was read with ``_row``, and how many rows there are.
+
+    Rows are numbered from 0 through all files in the order of their paths. The
+    reader's own number begins anew in each file; the rows of the files before are
+    added. One pass counts the rows of each file.
+    """
+    meta = F.col("_metadata")
+    sizes = sorted(tuple(r) for r in df.groupBy(meta["file_path"]).count().collect())
+    first = list(itertools.accumulate((n for _, n in sizes), initial=0))
+    files = df.sparkSession.createDataFrame([(f, n) for (f, _), n in zip(sizes, first[:-1], strict=True)], "_file string, _first long")
+    rows = df.select(*columns, meta["file_path"].alias("_file"), meta["row_index"].alias("_index"))
+    return rows.join(F.broadcast(files), "_file").select(*columns, (F.col("_first") + F.col("_index")).alias("_row")), first[-1]
+
+
+def strided(spark: SparkSession, path: str, columns: list[str], max_docs: int, shards: int = 1, per_group: int = 1000, max_bytes: int | None = None, text: str = "text", row: str | None = None) -> DataFrame:
+    """Rows in evenly spaced stretches of ``per_group`` rows of a Parquet table of one or many files.
 
-    The row number is the reader's own, so only the wanted columns are decoded
-    and no order is assumed between tasks. With ``max_bytes`` rows are taken in
-    order until their texts reach the budget; the row that crosses it is in.
+    The row number is the integer column ``row``, or else the reader's own, counted
+    through all files by path. Only the wanted columns are decoded and no order is
+    assumed between tasks. With ``max_bytes`` rows are taken in order until their
+    texts reach the budget; the row that crosses it is in.
     """
-    df = spark.read.parquet(path).select(*columns, F.col("_metadata.row_index").alias("_row"))
     if max_bytes is not None:
-        some = strided(spark, path, [*dict.fromkeys([*columns, text])], max_docs, shards, per_group)
+        some = strided(spark, path, [*dict.fromkeys([*columns, text])], max_docs, shards, per_group, row=row)
         size = F.coalesce(F.octet_length(text), F.lit(0))
         return budget.budget_prefix(some, max_bytes, "_row", size).select(*columns, "_row")
-    total = math.ceil(df.count() / per_group)
-    groups = stride(total, max_docs, shards, per_group)
-    step = groups[1] - groups[0] if len(groups) > 1 else max(1, total)
-    g = F.floor(F.col("_row") / per_group)
-    return df.filter((g % step == 0) & (g / step < max(1, len(groups))) & F.lit(bool(groups)))
+    df = spark.read.parquet(path)
+    rows, total = numbered(df, columns) if row is None else (df.select(*columns, F.col(row).alias("_row")), df.count())
+    want, step = spacing(math.ceil(total / per_group), max_docs, shards, per_group)
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    g = div(F.col("_row"), per_group)
+    return rows.filter((g % step == 0) & (div(g, step) < want) & F.lit(want > 0))
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:

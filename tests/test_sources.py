@@ -1,6 +1,10 @@
+import collections
 import importlib
 import json
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from corpusmill.sources import readers, sinks
 from corpusmill.streaming import watch
@@ -80,3 +84,34 @@ def test_split_audit_plan_has_no_cross_join(spark, sf):
 
     plan = catalogue.QUERIES["split_leakage"](spark, sf)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_strided_over_many_files(spark, tmp_path):
+    path, at = tmp_path / "documents.parquet", 0
+    path.mkdir()
+    for i, n in enumerate([130, 0, 7, 501, 62]):
+        pq.write_table(pa.table({"doc_id": list(range(at, at + n)), "text": ["é"] * n}, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())])), path / f"part-{i}.parquet", row_group_size=100)
+        at += n
+    got = readers.strided(spark, str(path), ["doc_id"], max_docs=30, per_group=10).collect()
+    assert all(r.doc_id == r._row for r in got)
+    assert sorted(r.doc_id for r in got) == [10 * g + k for g in readers.stride(70, 30, 1, 10) for k in range(10)]
+    some = readers.strided(spark, str(path), ["doc_id"], max_docs=30, per_group=10, max_bytes=25)
+    assert sorted(r.doc_id for r in some.collect()) == [*range(10), 230, 231, 232]
+    assert readers.strided(spark, str(path), ["doc_id"], max_docs=0, row="doc_id").isEmpty()
+
+
+@pytest.mark.parametrize("ids", [list(range(1203)), [(i * 7919) % 1203 for i in range(1203)], [*range(-350, 0), None, 5, 5, *range(900, 1900)], [3 * i for i in range(150)], []])
+def test_strided_scan_is_its_sql(spark, tmp_path, ids):
+    """In several files, with ids in order, shuffled, negative, missing, repeated, with gaps, and none."""
+    from corpusmill.plans import catalogue
+
+    path, schema = tmp_path / "documents.parquet", pa.schema([("doc_id", pa.int64()), ("lang", pa.string())])
+    path.mkdir()
+    for i in range(3):
+        part = ids[len(ids) * i // 3 : len(ids) * (i + 1) // 3]
+        pq.write_table(pa.table({"doc_id": part, "lang": [f"l{k}" for k in range(len(part))]}, schema=schema), path / f"part-{i}.parquet")
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = sql.execute(catalogue.ORACLE["strided_scan"]).fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES["strided_scan"](spark, str(tmp_path)).collect()]
+    assert collections.Counter(got) == collections.Counter(want)
