@@ -39,10 +39,25 @@ POPULATION = 4
 #: Tasks that islands are dealt to at most.
 TASKS = 20_000
 END_ID = 0
+#: Bytes of batches whose texts are encoded together.
+TOGETHER = 1 << 23
 Chromosome = tuple[list[list[int]], list[int]]
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, joined as long as they have at most ``size`` bytes together."""
+    held, held_bytes = [], 0
+    for b in batches:
+        if held and held_bytes + b.nbytes > size:
+            yield pa.concat_batches(held)
+            held, held_bytes = [], 0
+        held.append(b)
+        held_bytes += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of each document's ids (with the end id), and where it lies."""
     common.prepare(docs.sparkSession)
@@ -50,10 +65,10 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokens.worker_wide(("ids", vocabulary), lambda: tokens.WordIds(vocabulary))
-        for b in batches:
+        for b in gathered(batches, TOGETHER):
             doc, piece, start, length, crc = [], [], [], [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), common.raw_texts(b), strict=True):
-                ids = tokenizer.ids(t) + end
+            for i, ids in zip(b.column("doc_id").to_pylist(), tokenizer.batch(b.column("text")), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     doc.append(i)

@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpusmill.llm import common, decontaminate, html_extract, html_pages, html_tree, neardup, packing, quality_knn, quality_rules, sharding, token_cache, tokens, toxicity, warc
 from pyspark.sql import functions as F
@@ -415,6 +416,34 @@ def test_stretches_are_exact():
         assert np.frombuffer(ids.ids(text.encode()), "<u4").tolist() == lower.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_batches_are_exact_and_encode_small_letters_together(monkeypatch):
+    """Ids of whole batches are the library's; words of small Latin letters don't go through it one by one."""
+    rng = random.Random(7)
+    ids, plain = tokens.WordIds("word_bpe_49k.json"), tokens.load("word_bpe_49k.json")
+    asked = collections.Counter()
+    monkeypatch.setattr(ids.parts, "make", lambda w: (asked.update([w]), ids.encoded(w))[1])
+    parts = ["a", "Bc", "é", "é", "'s", "'LL", "12", "…", " ", "\n", "\x0b", "\xa0", "\u3000", "\x1c", "\x00", "<|endoftext|>", "<|", "Σ", "İ", "漢", "😀", "ß", "ÿ", "É", "×", "÷", "nd", "THE", "!!", ".", "\u200b", "\x85", "x" * 63, "é" * 40, "nation", "aaaa"]
+    texts = ["".join(rng.choice(parts) + " " * (rng.random() < 0.4) for _ in range(rng.randint(0, 12))) if rng.random() < 0.95 else None for _ in range(4000)]
+    texts += [" ".join("".join(rng.choice("etaoinshéüß") for _ in range(rng.randint(1, 60))) + rng.choice(["", ".", ",", "'", "!?"]) for _ in range(200)) for _ in range(20)]
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert ids.batch(pa.array(texts[-20:])) == want[-20:]
+    assert asked and not [w for w in asked if tokens.LOWER.fullmatch(w) and len(w) <= tokens.LONGEST]
+    for size in (1, 300, len(texts)):
+        assert [x for k in range(0, len(texts), size) for x in ids.batch(pa.array(texts[k : k + size], pa.string()))] == want
+    assert ids.batch(pa.array([], pa.string())) == [] and ids.batch(pa.array([None, "", " "], pa.string())) == [b""] * 3
+    broken = pa.array([b"a\xff b\xc3", b" \xe2A\xe9. \xc3"])
+    assert ids.batch(broken.view(pa.string())) == [ids.ids(x) for x in broken.to_pylist()]
+
+
+def test_op9_encodes_batches_together(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "worker_wide", lambda key, make: make())
+    monkeypatch.setattr(tokens.WordIds, "ids", None)  # one text after another
+    assert packing.pieces(table(spark, ["some small words"] * 600 + [None])).count() == 601
+    rows = pa.RecordBatch.from_pydict({"text": ["x" * 100] * 10})
+    assert [b.num_rows for b in packing.gathered(iter([rows] * 7), 3 * rows.nbytes)] == [30, 30, 10]
+    assert [b.num_rows for b in packing.gathered(iter([rows] * 2), 1)] == [10, 10] and not list(packing.gathered(iter([]), 1))
+
+
 def jump(key, shards):
     key &= 2**64 - 1
     b, j = -1, 0
